@@ -13,7 +13,7 @@ NULL text gives NULL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,11 +61,14 @@ def letter_count(text: Column | str) -> Column:
     return F.length(F.regexp_replace(_col(text), NON_LETTERS, ""))
 
 
-def _ratio_or_zero(numerator: Column, denominator: Column) -> Column:
-    """0.0 for an empty denominator, NULL when it is NULL."""
-    return F.when(denominator == 0, F.lit(0.0)).otherwise(
-        numerator.cast("double") / F.nullif(denominator, F.lit(0))
-    )
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _ratio_or_zero(pair: Column) -> Column:
+    """n / d; 0.0 when d is 0, NULL when d is NULL."""
+    return F.when(pair["d"] == 0, F.lit(0.0)).when(pair["d"] > 0, pair["n"] / pair["d"])
 
 
 def repeatability(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
@@ -74,19 +77,34 @@ def repeatability(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
     if stop_words:
         stops = [w.lower() for w in stop_words]
         tokens = F.filter(tokens, lambda t: ~t.isin(stops))
-    return _ratio_or_zero(F.array_size(tokens), F.array_size(F.array_distinct(tokens)))
+    sizes = _bind(
+        tokens,
+        lambda ts: F.struct(
+            F.array_size(ts).alias("n"), F.array_size(F.array_distinct(ts)).alias("d")
+        ),
+    )
+    return _bind(sizes, _ratio_or_zero)
 
 
 def complexity(text: Column | str) -> Column:
     """Whitespace words per sentence."""
-    return _ratio_or_zero(space_word_count(text), sentence_count(text))
+    pair = F.struct(space_word_count(text).alias("n"), sentence_count(text).alias("d"))
+    return _bind(pair, _ratio_or_zero)
+
+
+def _coleman_liau(counts: Column) -> Column:
+    # fixed values: coefficients of the published index, per 100 words
+    letters = F.lit(100.0) * counts["letters"] / counts["words"]
+    sentences = F.lit(100.0) * counts["sentences"] / counts["words"]
+    index = F.lit(0.0588) * letters - F.lit(0.296) * sentences - F.lit(15.8)
+    return F.when(counts["words"] == 0, F.lit(0.0)).when(counts["words"] > 0, index)
 
 
 def readability(text: Column | str) -> Column:
     """Coleman-Liau index from its published formula; 0.0 without any word."""
-    words = space_word_count(text)
-    divisor = F.nullif(words, F.lit(0))
-    letters = F.lit(100.0) * letter_count(text) / divisor
-    sentences = F.lit(100.0) * sentence_count(text) / divisor
-    index = F.lit(0.0588) * letters - F.lit(0.296) * sentences - F.lit(15.8)
-    return F.when(words == 0, F.lit(0.0)).otherwise(index)
+    counts = F.struct(
+        letter_count(text).alias("letters"),
+        space_word_count(text).alias("words"),
+        sentence_count(text).alias("sentences"),
+    )
+    return _bind(counts, _coleman_liau)

@@ -158,7 +158,7 @@ def oracle_sql() -> dict[str, str]:
     edges = EDGES.format(day="", same="")
     normalized = f"round(@ / nullif({WORD_COUNT}, 0), 6)"
     vector = ", ".join(_category(words, True) for words in STEM_LEXICON.values())
-    return {
+    sql = {
         "repost_edges": base + edges,
         "repost_edges_same_day": base
         + EDGES.format(day=", p.ingest_date", same=" AND p.ingest_date = r.ingest_date"),
@@ -229,3 +229,8 @@ WHERE s.side = 'right_only' AND length(d.text) >= 15""",
              ORDER BY md5('42|' || author), author LIMIT 50""",
         "sample_rows": "SELECT doc_id, text FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 100",
     }
+    sql["user_posts_from_files"] = sql["user_posts"]
+    sql["repost_edges_from_files"] = sql["repost_edges_same_day"]
+    sql["action_counts_from_csv"] = sql["user_action_counts"]
+    sql["unique_posts_from_files"] = sql["unique_posts"]
+    return sql

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from postloom import operators as ops
 from postloom.functions import complexity, readability, repeatability, uri_author, word_count
+from postloom.plans import jobs
 from postloom.plans import testdata as data
 from postloom.plans.vocabulary import LEXICON, STEM_LEXICON, STOP_WORDS
 from postloom.schemas import COMPOSITES, LEXICON as LEXICON_SCHEMA, REPOST, TEXT_LABELS
+from postloom.sinks import write_by_date, write_csv
+from postloom.sources import read_actions_csv, read_firehose, read_posts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -188,6 +191,40 @@ def score_text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.score_text_labels(texts, "text", models).drop("text")
 
 
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """The event records as gzipped line-delimited JSON, one folder per day."""
+    path = jobs.scratch_path(spark, "events")
+    data.firehose(spark, sf_dir).write.partitionBy("ingest_date").option(
+        "compression", "gzip"
+    ).json(path)
+    return path
+
+
+def user_posts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_firehose(spark, _event_files(spark, sf_dir))
+    return _flat_langs(ops.user_posts(records, data.target_users(spark, sf_dir)))
+
+
+def repost_edges_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    output = jobs.scratch_path(spark, "edges")
+    jobs.repost_edges_job(spark, _event_files(spark, sf_dir), output)
+    edges = spark.read.parquet(output)
+    return _flat_langs(edges.withColumn("ingest_date", F.col("ingest_date").cast("string")))
+
+
+def action_counts_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = jobs.scratch_path(spark, "actions")
+    write_csv(data.firehose(spark, sf_dir).select("createdAt", "author", "type"), path)
+    return ops.user_action_counts(read_actions_csv(spark, path))
+
+
+def unique_posts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = jobs.scratch_path(spark, "posts")
+    by_day = data.posts(spark, sf_dir).withColumn("ingest_date", F.left("createdAt", F.lit(10)))
+    write_by_date(by_day, path, order_by=["createdAt", "post_id"])
+    return ops.unique_posts(read_posts(spark, path))
+
+
 def queries() -> dict[str, Query]:
     return {
         "repost_edges": repost_edges,
@@ -222,4 +259,8 @@ def queries() -> dict[str, Query]:
         "sample_rows": sample_rows,
         "sample_rows_random": sample_rows_random,
         "score_text_labels": score_text_labels,
+        "user_posts_from_files": user_posts_from_files,
+        "repost_edges_from_files": repost_edges_from_files,
+        "action_counts_from_csv": action_counts_from_csv,
+        "unique_posts_from_files": unique_posts_from_files,
     }

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.plans.sizing import spread_small_scan
 from postloom.schemas import FOLLOW, LIKE, POST, REPOST
 
 BLOCK = "app.bsky.graph.block"
@@ -95,4 +96,4 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_small_scan(table(spark, sf_dir, "documents")).select("doc_id", "text")
