@@ -70,26 +70,28 @@ def train_text_labels(
     left out of that label's fit. The model size is bounded by ``vocab_size``,
     whatever the corpus; fitting aggregates over partitions.
     """
-    texts = _with_text(df.where(F.col(text_col).isNotNull()), text_col).select(
-        TEXT, *dict.fromkeys(label_cols.values())
-    )
+    columns = list(dict.fromkeys(label_cols.values()))
+    texts = _with_text(df.where(F.col(text_col).isNotNull()), text_col).select(TEXT, *columns)
     vectorizer = _vectorizer(vocab_size, min_df, "__v").fit(texts)
-    vectors = vectorizer.transform(texts).select(FEATURES, *dict.fromkeys(label_cols.values()))
-    vectors = vectors.persist()
+    vectors = vectorizer.transform(texts).select(FEATURES, *columns).persist()
+    svc = LinearSVC(
+        featuresCol=FEATURES, labelCol="__label", maxIter=max_iter, regParam=reg_param
+    )
     try:
-        classifiers = {
-            label: LinearSVC(
-                featuresCol=FEATURES, labelCol="__label", maxIter=max_iter, regParam=reg_param
-            ).fit(
+        fitted = {
+            col: svc.fit(
                 vectors.where(F.col(col).isNotNull()).select(
                     FEATURES, F.col(col).cast("double").alias("__label")
                 )
             )
-            for label, col in label_cols.items()
+            for col in columns
         }
     finally:
         vectors.unpersist()
-    return TextLabelModels(dict.fromkeys(label_cols, vectorizer), classifiers)
+    return TextLabelModels(
+        dict.fromkeys(label_cols, vectorizer),
+        {label: fitted[col] for label, col in label_cols.items()},
+    )
 
 
 def train_text_label(
@@ -107,22 +109,35 @@ def merge_text_models(*bundles: TextLabelModels) -> TextLabelModels:
     return TextLabelModels(vectorizers, classifiers)
 
 
-def save_text_models(models: TextLabelModels, path: str) -> None:
-    """Write ``<path>/<label>/vectorizer`` and ``<path>/<label>/classifier``."""
+def save_text_models(spark: SparkSession, models: TextLabelModels, path: str) -> None:
+    """Write every vectorizer once, every classifier, and which belong together."""
+    pairs = [(label, models.vectorizers[label].uid) for label in models.labels]
+    shared = {models.vectorizers[label].uid: models.vectorizers[label] for label in models.labels}
+    for uid, vectorizer in shared.items():
+        vectorizer.write().overwrite().save(f"{path}/vectorizers/{uid}")
     for label in models.labels:
-        models.vectorizers[label].write().overwrite().save(f"{path}/{label}/vectorizer")
-        models.classifiers[label].write().overwrite().save(f"{path}/{label}/classifier")
-
-
-def load_text_models(path: str, labels: Sequence[str] = tuple(TEXT_LABELS)) -> TextLabelModels:
-    """Load the pair of every label; labels saved with one vectorizer share it."""
-    by_uid: dict[str, PipelineModel] = {}
-    vectorizers, classifiers = {}, {}
-    for label in labels:
-        loaded = PipelineModel.load(f"{path}/{label}/vectorizer")
-        vectorizers[label] = by_uid.setdefault(loaded.uid, loaded)
-        classifiers[label] = LinearSVCModel.load(f"{path}/{label}/classifier")
-    return TextLabelModels(vectorizers, classifiers)
+        models.classifiers[label].write().overwrite().save(f"{path}/classifiers/{label}")
+    spark.createDataFrame(pairs, "label string, vectorizer string").coalesce(1).write.mode(
+        "overwrite"
+    ).json(f"{path}/labels")
+
+
+def load_text_models(
+    spark: SparkSession, path: str, labels: Sequence[str] = tuple(TEXT_LABELS)
+) -> TextLabelModels:
+    """Load the (vectorizer, classifier) pair of every label, in the given order."""
+    saved = spark.read.schema("label string, vectorizer string").json(f"{path}/labels")
+    uids = {r.label: r.vectorizer for r in saved.where(F.col("label").isin(list(labels))).collect()}
+    missing = [label for label in labels if label not in uids]
+    if missing:
+        raise ValueError(f"No saved model for labels: {missing}")
+    loaded = {
+        uid: PipelineModel.load(f"{path}/vectorizers/{uid}") for uid in dict.fromkeys(uids.values())
+    }
+    return TextLabelModels(
+        {label: loaded[uids[label]] for label in labels},
+        {label: LinearSVCModel.load(f"{path}/classifiers/{label}") for label in labels},
+    )
 
 
 def score_text_labels(

@@ -21,7 +21,7 @@ from postloom.operators.edges import repost_edges
 from postloom.operators.lexicon import collect_lexicon, lexicon_features
 from postloom.operators.linguistic import linguistic_features
 from postloom.operators.posts import unique_posts, user_posts
-from postloom.schemas import FIREHOSE, LANGUAGE, MIN_TEXT_LENGTH, POST, REPOST
+from postloom.schemas import FIREHOSE, LANGUAGE, MIN_TEXT_LENGTH, POST, REPOST, TEXT_LABELS
 from postloom.sinks import write_by_date, write_table
 from postloom.sources import read_firehose, read_lexicon, read_posts, read_user_list
 
@@ -132,9 +132,9 @@ def classifier_job(
     text_column: str,
     models: str,
     output: str,
-    labels: Sequence[str] | None = None,
+    labels: Sequence[str] = tuple(TEXT_LABELS),
 ) -> None:
     """Post files and saved models -> one prediction column per label, by day."""
-    bundle = load_text_models(models, labels) if labels else load_text_models(models)
     posts = read_posts(spark, input, require_date=True)
+    bundle = load_text_models(spark, models, labels)
     write_by_date(score_text_labels(posts, text_column, bundle).drop(text_column), output)

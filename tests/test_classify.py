@@ -24,13 +24,13 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def training(spark):
-    return spark.createDataFrame(ROWS, "text string, down int, other int")
+    return spark.createDataFrame(ROWS, "text string, down int, other int").coalesce(1)
 
 
 @pytest.fixture(scope="module")
 def models(training):
     columns = {label: ("down", "other")[i % 2] for i, label in enumerate(TEXT_LABELS)}
-    return train_text_labels(training, "text", columns, vocab_size=200, min_df=1.0)
+    return train_text_labels(training, "text", columns, vocab_size=200, min_df=1.0, max_iter=5)
 
 
 def test_one_column_per_label(spark, models):
@@ -66,17 +66,22 @@ def test_single_text_in_label_order(spark, models):
 
 
 def test_save_and_load(spark, models, tmp_path):
-    save_text_models(models, str(tmp_path / "models"))
-    loaded = load_text_models(str(tmp_path / "models"))
+    path = str(tmp_path / "models")
+    save_text_models(spark, models, path)
+    assert len(list((tmp_path / "models" / "vectorizers").iterdir())) == 1
+    loaded = load_text_models(spark, path)
     assert loaded.labels == TEXT_LABELS
     assert len({id(v) for v in loaded.vectorizers.values()}) == 1
     text = "so stressed but fine"
     assert annotate_text(spark, text, loaded) == annotate_text(spark, text, models)
+    assert load_text_models(spark, path, ["stress", "anxiety"]).labels == ["stress", "anxiety"]
+    with pytest.raises(ValueError, match="anger"):
+        load_text_models(spark, path, ["anger"])
 
 
 def test_labels_with_their_own_vectorizers(spark, training):
-    a = train_text_label(training, "text", "a", "down", vocab_size=50, min_df=1.0)
-    b = train_text_label(training, "text", "b", "other", vocab_size=20, min_df=2.0)
+    a = train_text_label(training, "text", "a", "down", vocab_size=50, min_df=1.0, max_iter=3)
+    b = train_text_label(training, "text", "b", "other", vocab_size=20, min_df=2.0, max_iter=3)
     both = merge_text_models(a, b)
     df = training.select("text").distinct()
     out = score_text_labels(df, "text", both, prefix="p_")
@@ -89,7 +94,7 @@ def test_null_labels_are_left_out(spark, training):
     more = training.unionByName(
         spark.createDataFrame([("fine fine fine", None, 1)], training.schema)
     )
-    assert train_text_label(more, "text", "a", "down", min_df=1.0).labels == ["a"]
+    assert train_text_label(more, "text", "a", "down", min_df=1.0, max_iter=2).labels == ["a"]
 
 
 def test_shared_vectorizer_runs_once_and_nothing_is_shuffled(spark, models):
