@@ -17,8 +17,19 @@ BLOCK = "app.bsky.graph.block"
 POST_PATH = "app.bsky.feed.post"
 
 
+# declared, so that opening a table starts no job to look at its footers
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+        "value double, props string"
+    ),
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def firehose(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,12 @@ def build_session(cores: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("postloom")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.default.parallelism", "4")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="postloom-wh-"))
         .getOrCreate()
     )

@@ -13,6 +13,7 @@ N = 60_000
 def shuffled(spark):
     """Joins without broadcast, and thresholds that fit small data."""
     settings = {
+        "spark.sql.shuffle.partitions": "8",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
