@@ -29,22 +29,25 @@ def repost_edges(
     ``same_day=True`` matches a repost only with a post ingested on the same
     day and keeps ``ingest_date`` in the output; ``False`` matches across days.
 
-    Posts are made distinct before the join: with copies on both sides a key
-    would otherwise emit copies x reposts rows. The join is an equi-join on
-    (uri, cid), so a viral post makes one hot key on the repost side only,
-    which the adaptive skew join splits; the closing DISTINCT carries the
-    reposter and time in its key, so it spreads again, and copies of one
-    repost collapse in its map-side step.
+    Both sides are made distinct before the join, where the rows are narrow and
+    copies collapse on the map side; with copies left in, a key would emit
+    copies x copies rows. A viral post then is one post row and many reposts,
+    which the adaptive skew join splits. The closing DISTINCT merges versions of
+    a post with equal content; reposter and time are in its key, so it spreads.
     """
     day = ["ingest_date"] if same_day else []
     keys = ["post_id", "post_cid", *day]
 
-    reposts = firehose.where(is_create() & is_kind(REPOST)).select(
-        F.col("author").alias("source"),
-        F.col("subject.uri").alias("post_id"),
-        F.col("subject.cid").alias("post_cid"),
-        F.col("createdAt").alias("repost_created_at"),
-        *day,
+    reposts = (
+        firehose.where(is_create() & is_kind(REPOST))
+        .select(
+            F.col("author").alias("source"),
+            F.col("subject.uri").alias("post_id"),
+            F.col("subject.cid").alias("post_cid"),
+            F.col("createdAt").alias("repost_created_at"),
+            *day,
+        )
+        .distinct()
     )
     posts = (
         english_posts(firehose, min_len, lang)

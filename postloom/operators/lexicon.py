@@ -8,9 +8,10 @@ Three strategies with equal results:
 
 ``regex``  one alternation per category, run over the whole text. Exact for
            every keyword; cost grows with characters x keywords.
-``token``  the text is split into words once and every word is looked up in
-           per-category hash sets, so cost grows with words. Categories that
-           hold phrases or punctuation use the alternation as well, but only on
+``token``  the text is split into words once, the words are reduced to the
+           lexicon entries they match, and every category counts its own ones
+           by hash lookup, so cost grows with words. Categories that hold
+           phrases or punctuation use the alternation as well, but only on
            rows where such an entry occurs at all. No shuffle. The default.
 ``join``   (``lexicon_counts_join``) words joined with the lexicon table, for
            lexicons too long to be written into an expression.
@@ -101,18 +102,30 @@ def lexicon_pattern(keywords: Sequence[str], stems: str = "match") -> str | None
 
 
 def _in_set(item: str, words: Sequence[str]) -> str:
-    return f"{item} IN ({', '.join(f"'{w}'" for w in words)})"
+    """SQL membership test; Catalyst turns a long list into a hash set."""
+    return f"{item} IN ({', '.join(f"'{w}'" for w in words)})" if words else "false"
 
 
-def _word_test(keywords: Sequence[str]) -> str:
-    """SQL condition on a word ``w``; long IN lists become hash sets."""
-    exact = [k for k in keywords if not _is_stem(k)]
-    by_length: dict[int, list[str]] = {}
-    for stem in (k[:-1] for k in keywords if _is_stem(k)):
-        by_length.setdefault(len(stem), []).append(stem)
-    tests = [_in_set("w", exact)] if exact else []
-    tests += [_in_set(f"left(w, {n})", by_length[n]) for n in sorted(by_length)]
-    return " OR ".join(tests) or "false"
+def _entries_hit(keywords: Sequence[str]) -> str:
+    """SQL for all entries, as spelled in the lexicon, that the words match."""
+    lengths = sorted({len(k) - 1 for k in keywords if _is_stem(k)})
+    member = _in_set("e", keywords)
+    if not lengths:
+        return f"filter(__words, e -> {member})"
+    stems = ", ".join(f"if(length(w) >= {n}, left(w, {n}) || '*', NULL)" for n in lengths)
+    return f"flatten(transform(__words, w -> filter(array(w, {stems}), e -> {member})))"
+
+
+def _without_covered(keywords: Sequence[str]) -> list[str]:
+    """Leave out entries that a stem of the list covers, so a word hits only one."""
+    stems = {k[:-1] for k in keywords if _is_stem(k)}
+
+    def covered(keyword: str) -> bool:
+        word = keyword[:-1] if _is_stem(keyword) else keyword
+        shorter = range(1, len(word) if _is_stem(keyword) else len(word) + 1)
+        return any(word[:n] in stems for n in shorter)
+
+    return [k for k in keywords if not covered(k)]
 
 
 def _is_plain(keyword: str) -> bool:
@@ -145,7 +158,7 @@ def _token_counts(lexicon: Lexicon, stems: str) -> dict[str, Column]:
     for name, keywords in lexicon.categories.items():
         used = _used(keywords, stems)
         plain = [k for k in used if _is_plain(k)]
-        count = F.expr(f"array_size(filter(__hits, w -> {_word_test(plain)}))")
+        count = F.expr(f"array_size(filter(__hits, e -> {_in_set('e', _without_covered(plain))}))")
         other = [k for k in used if not _is_plain(k)]
         if other:
             count = F.when(
@@ -179,7 +192,7 @@ def lexicon_counts(
         )
         prepared = prepared.withColumn(
             "__words", F.regexp_extract_all("__text", F.lit(WORD_RUN), F.lit(0))
-        ).withColumn("__hits", F.expr(f"filter(__words, w -> {_word_test(list(plain))})"))
+        ).withColumn("__hits", F.expr(_entries_hit(list(plain))))
         counts = _token_counts(lexicon, stems)
     elif strategy == "regex":
         counts = _regex_counts(lexicon, stems)

@@ -34,12 +34,21 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def reconcile_summary(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per side: number of keys, and of rows a full outer join would give."""
-    pairs = F.greatest(F.col("n_left"), F.lit(1)) * F.greatest(F.col("n_right"), F.lit(1))
+    """Per side: keys, rows of either frame, and rows of a full outer join.
+
+    The last one is a product of row counts and may pass the range of a long
+    when a key is very frequent on both sides, so it is a double.
+    """
+    pairs = F.greatest("n_left", F.lit(1)).cast("double") * F.greatest("n_right", F.lit(1))
     return (
         reconcile(left, right, keys)
         .groupBy("side")
-        .agg(F.count(F.lit(1)).alias("n_keys"), F.sum(pairs).alias("n_rows"))
+        .agg(
+            F.count(F.lit(1)).alias("n_keys"),
+            F.sum("n_left").alias("n_left"),
+            F.sum("n_right").alias("n_right"),
+            F.sum(pairs).alias("n_joined"),
+        )
     )
 
 

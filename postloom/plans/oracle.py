@@ -215,7 +215,8 @@ FROM {KEPT}""",
         "reconcile": f"{base}, {RECONCILED} SELECT * FROM sides",
         "reconcile_summary": f"""{base}, {RECONCILED}
 SELECT side, count(*) AS n_keys,
-       CAST(sum(greatest(n_left, 1) * greatest(n_right, 1)) AS BIGINT) AS n_rows
+       CAST(sum(n_left) AS BIGINT) AS n_left, CAST(sum(n_right) AS BIGINT) AS n_right,
+       CAST(sum(greatest(n_left, 1) * greatest(n_right, 1)) AS DOUBLE) AS n_joined
 FROM sides GROUP BY side""",
         "unmatched_rows": f"""{base}, {RECONCILED}
 SELECT u.author, u.post_id, u.post_cid, u.createdAt, 'left_only' AS side

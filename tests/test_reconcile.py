@@ -29,8 +29,9 @@ def test_summary_equals_pandas_outer_merge(spark):
         pd.DataFrame(RIGHT, columns=KEYS), on=KEYS, how="outer", indicator=True
     )
     want = {k: int(v) for k, v in merged["_merge"].value_counts().items() if v}
-    got = {r.side: r.n_rows for r in reconcile_summary(*_frames(spark), KEYS).collect()}
-    assert got == want
+    rows = reconcile_summary(*_frames(spark), KEYS).collect()
+    assert {r.side: r.n_joined for r in rows} == want
+    assert sum(r.n_left for r in rows) == len(LEFT) and sum(r.n_right for r in rows) == len(RIGHT)
 
 
 def test_unmatched_rows(spark):
