@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 65_536
-LEVELS = 2
 QUANTILES = (0.25, 0.5, 0.75)
 
 
@@ -21,41 +20,55 @@ def _bucket() -> Column:
     return F.coalesce(F.floor(F.nanvl(part, F.lit(0.0)) * BUCKETS), F.lit(0)).cast("long")
 
 
-def _in_range(counts: DataFrame, ranks: DataFrame) -> DataFrame:
-    # ranks: at most two rows per quantile and column, so its size is fixed
-    return counts.join(F.broadcast(ranks), "feature").where(
-        F.col("value").between(F.col("lo"), F.col("hi"))
-    )
+def _so_far(keys: Sequence[str], order: str) -> Column:
+    """Running count within ``keys`` up to and including the current group."""
+    rows = Window.partitionBy(*keys).orderBy(order)
+    return F.sum("n").over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def _holding_rank(groups: DataFrame, order: str) -> DataFrame:
-    """Of every rank's groups, the one inside which the rank falls."""
-    so_far = Window.partitionBy("feature", "rank").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+def _holding_rank(groups: DataFrame) -> DataFrame:
+    """Keep the group inside which a rank falls, and how many values lie below it."""
+    start = F.col("upto") - F.col("n")
+    return groups.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= start)).withColumn(
+        "below", start
     )
-    return (
-        groups.withColumn("upto", F.col("below") + F.sum("n").over(so_far))
-        .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-        .withColumn("below", F.col("upto") - F.col("n"))
+
+
+def _bucket_counts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return values.groupBy(*keys, _bucket().alias("bucket")).agg(
+        F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
 
 
-def _values_at(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+def _values_at(counts: DataFrame, totals: DataFrame, ranks: DataFrame) -> DataFrame:
     """The value at every 0-based rank of its sorted column.
 
-    Each level counts values per bucket of the range that still holds the rank
-    and goes on with the smallest and largest value of one bucket, so no task
-    sees more than a bucket count of rows per rank. What remains after the
-    last level is ranked value by value, which keeps the answer exact.
+    A histogram of each column over its whole range shows the bucket that holds
+    a rank. That bucket, between its smallest and largest value, is cut into
+    buckets again, and what remains is ranked value by value, which keeps the
+    answer exact. A task sees at most a bucket count of rows per column or
+    rank, and sorts only values that fall into one bucket of a bucket.
     """
-    for _ in range(LEVELS):
-        groups = (
-            _in_range(counts, ranks)
-            .groupBy("feature", "rank", "below", _bucket().alias("bucket"))
-            .agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        )
-        ranks = _holding_rank(groups, "bucket").select("feature", "rank", "below", "lo", "hi")
-    return _holding_rank(_in_range(counts, ranks), "value").select("feature", "rank", "value")
+    # ranks has two rows per quantile and column, totals one per column
+    bounds = F.broadcast(totals.select("feature", F.col("min").alias("lo"), F.col("max").alias("hi")))
+    histogram = _bucket_counts(counts.join(bounds, "feature"), ["feature"]).withColumn(
+        "upto", _so_far(["feature"], "bucket")
+    )
+    found = _holding_rank(histogram.join(F.broadcast(ranks), "feature"))
+
+    def inside(found: DataFrame) -> DataFrame:
+        ranges = F.broadcast(found.select("feature", "rank", "below", "lo", "hi"))
+        return counts.join(ranges, "feature").where(F.col("value").between(F.col("lo"), F.col("hi")))
+
+    keys = ["feature", "rank", "below"]
+    groups = _bucket_counts(inside(found), keys)
+    found = _holding_rank(
+        groups.withColumn("upto", F.col("below") + _so_far(["feature", "rank"], "bucket"))
+    )
+    values = inside(found).withColumn(
+        "upto", F.col("below") + _so_far(["feature", "rank"], "value")
+    )
+    return _holding_rank(values).select("feature", "rank", "value")
 
 
 def _quantile_name(q: float) -> str:
@@ -100,22 +113,10 @@ def describe_features(
         )
     )
 
-    wanted = totals.select(
-        "feature",
-        F.col("min").alias("lo"),
-        F.col("max").alias("hi"),
-        F.explode(
-            F.array(*[((F.col("count") - 1) * F.lit(q)).alias("p") for q in quantiles])
-        ).alias("position"),
-    )
-    ranks = wanted.select(
-        "feature",
-        F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank"),
-        F.lit(0).cast("long").alias("below"),
-        "lo",
-        "hi",
-    ).distinct()
-    at_rank = _values_at(counts, ranks).groupBy("feature").agg(
+    positions = [(F.col("count") - 1) * F.lit(q) for q in quantiles]
+    wanted = F.array_distinct(F.array(*[f(p) for p in positions for f in (F.floor, F.ceil)]))
+    ranks = totals.select("feature", F.explode(wanted).alias("rank"))
+    at_rank = _values_at(counts, totals, ranks).groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
     )
 

@@ -1,8 +1,8 @@
 """Lexicon category counts over texts.
 
 A keyword counts where it stands between word boundaries of the lower-cased
-text; word characters are letters, digits and underscore. A trailing ``*``
-makes a stem, which matches any word that starts with it.
+text; word characters are letters, digits and underscore. A ``*`` stands for any
+number of word characters; at the end it makes a stem, the usual case.
 
 Three strategies with equal results:
 
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions import word_count
+from postloom.plans.sizing import broadcast_if_small
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 WORD_RUN = WORD_CHAR + "+"
@@ -77,20 +78,19 @@ def _used(keywords: Sequence[str], stems: str) -> list[str]:
     if stems not in STEM_MODES:
         raise ValueError(f"stems must be one of {STEM_MODES}")
     kept = keywords if stems == "match" else [k for k in keywords if "*" not in k]
-    return list(dict.fromkeys(k for k in kept if k))
+    return list(dict.fromkeys(k for k in kept if k.strip("*")))
 
 
 def _edges(keyword: str) -> tuple[str, str]:
     """Look-arounds that stand for a word boundary on either end."""
-    left = rf"(?<!{WORD_CHAR})" if _is_word(keyword[0]) else rf"(?<={WORD_CHAR})"
-    if _is_stem(keyword):
-        return left, ""
-    right = rf"(?!{WORD_CHAR})" if _is_word(keyword[-1]) else rf"(?={WORD_CHAR})"
+    first, last = (_is_word(c) or c == "*" for c in (keyword[0], keyword[-1]))
+    left = rf"(?<!{WORD_CHAR})" if first else rf"(?<={WORD_CHAR})"
+    right = rf"(?!{WORD_CHAR})" if last else rf"(?={WORD_CHAR})"
     return left, right
 
 
 def _body(keyword: str) -> str:
-    return re.escape(keyword[:-1]) + WORD_CHAR + "*" if _is_stem(keyword) else re.escape(keyword)
+    return f"{WORD_CHAR}*".join(map(re.escape, keyword.split("*")))
 
 
 def lexicon_pattern(keywords: Sequence[str], stems: str = "match") -> str | None:
@@ -242,6 +242,21 @@ def lexicon_vector(
     return counted.select(*df.columns, vector.alias(output_col))
 
 
+def _drop_covered(entries: DataFrame) -> DataFrame:
+    """``_without_covered`` on a lexicon table: a word hits a category once."""
+    stem = F.col("keyword").endswith("*")
+    word = F.when(stem, F.expr("left(keyword, length(keyword) - 1)")).otherwise(F.col("keyword"))
+    stems = entries.where(stem).select("cat_idx", word.alias("prefix"))
+    longest = F.length(word) - stem.cast("int")
+    covered = (
+        entries.withColumn("n", F.explode(F.when(longest >= 1, F.sequence(F.lit(1), longest))))
+        .select("cat_idx", "keyword", F.left(word, F.col("n")).alias("prefix"))
+        .join(stems, ["cat_idx", "prefix"], "left_semi")
+        .select("cat_idx", "keyword")
+    )
+    return entries.join(covered, ["cat_idx", "keyword"], "left_anti")
+
+
 def lexicon_counts_join(
     df: DataFrame,
     text_col: str,
@@ -254,10 +269,10 @@ def lexicon_counts_join(
     ``keys`` must identify a row; the result holds the keys and one column per
     category. Only single words and stems are allowed here.
 
-    The distinct words of all texts are matched with the lexicon first, which
-    settles stems on the vocabulary instead of on every occurrence. The texts'
-    words then meet a table of word -> categories, and the per-row sums start
-    on the map side, so one row per text and task is shuffled.
+    A word meets the lexicon as itself and as the stems it could match. The
+    lexicon is broadcast if its measured size allows it; else the adaptive skew
+    join splits a word that fills much of all texts. Sums start on the map side,
+    so about one row per text is shuffled.
     """
     entries = lexicon.where(F.col("keyword").isNotNull())
     if stems == "ignore":
@@ -281,8 +296,7 @@ def lexicon_counts_join(
 
     words = df.select(
         *keys,
-        F.col(text_col).isNotNull().alias("__has_text"),
-        F.explode_outer(
+        F.explode(
             F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RUN), F.lit(0))
         ).alias("__word"),
     )
@@ -293,20 +307,16 @@ def lexicon_counts_join(
             for n in lengths
         ],
     )
-    matched = (
-        words.where(F.col("__word").isNotNull())
-        .select("__word")
-        .distinct()
-        .select("__word", F.explode(forms).alias("keyword"))
-        .join(entries, "keyword")
-        .groupBy("__word")
-        .agg(F.collect_set("cat_idx").alias("__cats"))
+    hits = (
+        words.select(*keys, F.explode(forms).alias("keyword"))
+        .join(broadcast_if_small(_drop_covered(entries)), "keyword")
+        .select(*keys, F.lit(True).alias("__has_text"), "cat_idx")
+    )
+    every_row = df.select(
+        *keys, F.col(text_col).isNotNull().alias("__has_text"), F.lit(None).alias("cat_idx")
     )
-    joined = words.join(matched, "__word", "left")
     sums = [
-        F.when(
-            F.max("__has_text"), F.count_if(F.array_contains("__cats", F.lit(r.cat_idx)))
-        ).alias(r.cat_name)
+        F.when(F.max("__has_text"), F.count_if(F.col("cat_idx") == r.cat_idx)).alias(r.cat_name)
         for r in category_rows
     ]
-    return joined.groupBy(*keys).agg(*sums)
+    return every_row.unionByName(hits).groupBy(*keys).agg(*sums)

@@ -24,6 +24,7 @@ CATEGORIES = {
     "marks": [":)", "c++", "(like)"],
     "empty": [],
     "unicode": ["été", "naïve*", "straße", "ça"],
+    "wildcard": ["*ing", "un*y", "*", "f**t"],
     "order": ["kind of", "kind", "of", "i", "i'm"],
 }
 TEXTS = [
@@ -48,7 +49,9 @@ def _brute_count(text, keywords, stems):
     for keyword in keywords:
         if "*" in keyword:
             if stems == "match":
-                alternatives.append(r"\b" + re.escape(keyword[:-1]) + r"\w*")
+                if keyword != "*":
+                    parts = map(re.escape, keyword.split("*"))
+                    alternatives.append(r"\b" + r"\w*".join(parts) + r"\b")
         else:
             alternatives.append(r"\b" + re.escape(keyword) + r"\b")
     if not alternatives:

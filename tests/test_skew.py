@@ -3,8 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.operators import repost_edges, unique_posts, user_action_counts, user_posts
-from postloom.schemas import FIREHOSE, POST, REPOST
+from postloom.operators import (
+    lexicon,
+    lexicon_counts_join,
+    repost_edges,
+    unique_posts,
+    user_action_counts,
+    user_posts,
+)
+from postloom.schemas import FIREHOSE, LEXICON, POST, REPOST
 
 N = 60_000
 
@@ -19,6 +26,7 @@ def shuffled(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k",
     }
     for key, value in settings.items():
         spark.conf.set(key, value)
@@ -87,3 +95,19 @@ def test_hot_author(shuffled):
     assert counts["bot"] == N
     users = shuffled.createDataFrame([("author",), ("bot",)], "author string")
     assert user_posts(df, users).count() == 500
+
+
+def test_hot_word_is_split(shuffled, monkeypatch):
+    """A word that makes up most of all texts, with a lexicon too big to broadcast."""
+    monkeypatch.setattr(lexicon, "broadcast_if_small", lambda df: df)
+    df = shuffled.range(0, 20_000, numPartitions=8).selectExpr(
+        "id", "concat('the the the the word', id % 300, ' theory') AS text"
+    )
+    table = shuffled.createDataFrame(
+        [(1, "a", "the", False, 0), (1, "a", "theo*", True, 1), (2, "b", "word*", True, 2)],
+        LEXICON,
+    )
+    out = lexicon_counts_join(df, "text", table, ["id"])
+    rows = out.collect()
+    assert len(rows) == 20_000 and {(r.a, r.b) for r in rows} == {(5, 1)}
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
