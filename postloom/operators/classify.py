@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,21 +34,21 @@ class TextLabelModels:
         return list(self.classifiers)
 
 
-def _vectorizer(vocab_size: int, min_df: float, prefix: str) -> Pipeline:
-    words, pairs, both, counts = (f"{prefix}_{s}" for s in ("words", "pairs", "terms", "counts"))
-    return Pipeline(
-        stages=[
-            RegexTokenizer(
-                inputCol=TEXT, outputCol=words, pattern=r"[^\p{L}\p{M}\p{N}_]+", minTokenLength=1
-            ),
-            NGram(n=2, inputCol=words, outputCol=pairs),
-            SQLTransformer(
-                statement=f"SELECT *, concat({words}, {pairs}) AS {both} FROM __THIS__"
-            ),
-            CountVectorizer(inputCol=both, outputCol=counts, vocabSize=vocab_size, minDF=min_df),
-            IDF(inputCol=counts, outputCol=FEATURES),
-        ]
+def _term_stages() -> list[Transformer]:
+    """Text -> words and word pairs, as built-in expressions.
+
+    Two steps, so that the words are split once though they are used four times.
+    """
+    words = r"regexp_extract_all(lower(__text), r'[\p{L}\p{M}\p{N}_]+', 0)"
+    n_pairs = "greatest(array_size(__words) - 1, 0)"
+    pairs = (
+        f"zip_with(slice(__words, 1, {n_pairs}), slice(__words, 2, {n_pairs}), "
+        "(a, b) -> concat(a, ' ', b))"
     )
+    return [
+        SQLTransformer(statement=f"SELECT *, {words} AS __words FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, concat(__words, {pairs}) AS __terms FROM __THIS__"),
+    ]
 
 
 def _with_text(df: DataFrame, text_col: str) -> DataFrame:
@@ -72,8 +72,15 @@ def train_text_labels(
     """
     columns = list(dict.fromkeys(label_cols.values()))
     texts = _with_text(df.where(F.col(text_col).isNotNull()), text_col).select(TEXT, *columns)
-    vectorizer = _vectorizer(vocab_size, min_df, "__v").fit(texts)
-    vectors = vectorizer.transform(texts).select(FEATURES, *columns).persist()
+    stages = _term_stages()
+    # every fit below reads the terms again, so they are split only once
+    terms = PipelineModel(stages).transform(texts).select("__terms", *columns).persist()
+    counter = CountVectorizer(
+        inputCol="__terms", outputCol="__counts", vocabSize=vocab_size, minDF=min_df
+    ).fit(terms)
+    counts = counter.transform(terms)
+    weights = IDF(inputCol="__counts", outputCol=FEATURES).fit(counts)
+    vectors = weights.transform(counts).select(FEATURES, *columns).persist()
     svc = LinearSVC(
         featuresCol=FEATURES, labelCol="__label", maxIter=max_iter, regParam=reg_param
     )
@@ -88,6 +95,8 @@ def train_text_labels(
         }
     finally:
         vectors.unpersist()
+        terms.unpersist()
+    vectorizer = PipelineModel([*stages, counter, weights])
     return TextLabelModels(
         dict.fromkeys(label_cols, vectorizer),
         {label: fitted[col] for label, col in label_cols.items()},

@@ -90,6 +90,15 @@ def test_labels_with_their_own_vectorizers(spark, training):
     assert {r.text: r.p_b for r in out.collect()} == {r.text: r.p_b for r in alone.collect()}
 
 
+def test_terms_are_words_and_pairs(spark, models):
+    df = spark.createDataFrame([("So ÉTÉ, so!",), ("one",), ("",)], "__text string")
+    for stage in models.vectorizers["stress"].stages[:2]:
+        df = stage.transform(df)
+    assert [r["__terms"] for r in df.collect()] == [
+        ["so", "été", "so", "so été", "été so"], ["one"], [],
+    ]
+
+
 def test_null_labels_are_left_out(spark, training):
     more = training.unionByName(
         spark.createDataFrame([("fine fine fine", None, 1)], training.schema)
@@ -101,6 +110,7 @@ def test_shared_vectorizer_runs_once_and_nothing_is_shuffled(spark, models):
     df = spark.createDataFrame([("x",)], "text string")
     plan = score_text_labels(df, "text", models)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+    assert plan.count("regexp_extract_all") == 1
 
 
 def test_empty_frame(spark, models):

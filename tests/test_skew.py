@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postloom.operators import (
     lexicon,
     lexicon_counts_join,
+    posts,
     repost_edges,
     unique_posts,
     user_action_counts,
@@ -97,6 +98,21 @@ def test_hot_author(shuffled):
     assert user_posts(df, users).count() == 500
 
 
+def test_hot_author_of_a_long_user_list_is_split(shuffled, monkeypatch):
+    monkeypatch.setattr(posts, "broadcast_if_small", lambda df: df)
+    stream = _stream(shuffled).withColumns(
+        {
+            "author": F.when(F.col("createdAt").endswith("7"), "rare").otherwise(F.lit("bot")),
+            "langs": F.array(F.lit("en")),
+        }
+    )
+    users = shuffled.createDataFrame([("bot",), ("x",)], "author string")
+    out = user_posts(stream, users)
+    want = stream.where("author = 'bot' AND uri IS NULL").count() + 500
+    assert len(out.collect()) == want
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_word_is_split(shuffled, monkeypatch):
     """A word that makes up most of all texts, with a lexicon too big to broadcast."""
     monkeypatch.setattr(lexicon, "broadcast_if_small", lambda df: df)
