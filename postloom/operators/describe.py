@@ -34,29 +34,47 @@ def _holding_rank(groups: DataFrame) -> DataFrame:
     )
 
 
-def _bucket_counts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _bucket_counts(values: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
     return values.groupBy(*keys, _bucket().alias("bucket")).agg(
-        F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), *more
     )
 
 
-def _values_at(counts: DataFrame, totals: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The value at every 0-based rank of its sorted column.
+def _histogram(counts: DataFrame, totals: DataFrame, ranks: Column) -> DataFrame:
+    """Buckets of every column over its whole range, its squares and wanted ranks."""
+    # one row per column
+    bounds = totals.select(
+        "feature", "mean", F.col("min").alias("lo"), F.col("max").alias("hi"), ranks.alias("ranks")
+    )
+    squares = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares")
+    return _bucket_counts(
+        counts.join(F.broadcast(bounds), "feature"),
+        ["feature"],
+        squares,
+        F.first("ranks").alias("ranks"),
+    )
+
+
+def _values_at(counts: DataFrame, histogram: DataFrame) -> DataFrame:
+    """The value at every wanted 0-based rank of its sorted column.
 
-    A histogram of each column over its whole range shows the bucket that holds
-    a rank. That bucket, between its smallest and largest value, is cut into
-    buckets again, and what remains is ranked value by value, which keeps the
-    answer exact. A task sees at most a bucket count of rows per column or
-    rank, and sorts only values that fall into one bucket of a bucket.
+    The histogram shows the bucket that holds a rank. That bucket, between its
+    smallest and largest value, is cut into buckets again, and what remains is
+    ranked value by value, which keeps the answer exact. A task sees at most a
+    bucket count of rows per column or rank, and sorts only values that fall
+    into one bucket of a bucket.
     """
-    # ranks has two rows per quantile and column, totals one per column
-    bounds = F.broadcast(totals.select("feature", F.col("min").alias("lo"), F.col("max").alias("hi")))
-    histogram = _bucket_counts(counts.join(bounds, "feature"), ["feature"]).withColumn(
-        "upto", _so_far(["feature"], "bucket")
+    upto, below = F.col("upto"), F.col("upto") - F.col("n")
+    found = histogram.withColumn("upto", _so_far(["feature"], "bucket")).select(
+        "feature",
+        F.explode(F.filter("ranks", lambda r: (r >= below) & (r < upto))).alias("rank"),
+        below.alias("below"),
+        "lo",
+        "hi",
     )
-    found = _holding_rank(histogram.join(F.broadcast(ranks), "feature"))
 
     def inside(found: DataFrame) -> DataFrame:
+        # at most two rows per quantile and column
         ranges = F.broadcast(found.select("feature", "rank", "below", "lo", "hi"))
         return counts.join(ranges, "feature").where(F.col("value").between(F.col("lo"), F.col("hi")))
 
@@ -105,18 +123,11 @@ def describe_features(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    spread = (
-        counts.join(F.broadcast(totals), "feature")
-        .groupBy("feature")
-        .agg(
-            F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares"),
-        )
-    )
-
     positions = [(F.col("count") - 1) * F.lit(q) for q in quantiles]
-    wanted = F.array_distinct(F.array(*[f(p) for p in positions for f in (F.floor, F.ceil)]))
-    ranks = totals.select("feature", F.explode(wanted).alias("rank"))
-    at_rank = _values_at(counts, totals, ranks).groupBy("feature").agg(
+    ranks = F.array_distinct(F.array(*[f(p) for p in positions for f in (F.floor, F.ceil)]))
+    histogram = _histogram(counts, totals, ranks)
+    spread = histogram.groupBy("feature").agg(F.sum("squares").alias("squares"))
+    at_rank = _values_at(counts, histogram).groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
     )
 

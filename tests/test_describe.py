@@ -77,3 +77,12 @@ def test_other_quantiles_and_columns(spark):
     assert (row.feature, row.p0, row.p12_5, row.p100) == ("twice", 0.0, 25.0, 200.0)
     with pytest.raises(ValueError):
         describe_features(df.select("s"))
+
+
+def test_input_is_read_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5000).selectExpr("id % 7 AS a", "rand(1) AS b").write.parquet(path)
+    out = describe_features(spark.read.parquet(path))
+    assert len(out.collect()) == 2
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("FileScan") == 1
