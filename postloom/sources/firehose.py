@@ -42,7 +42,8 @@ def read_firehose(
     declared types: ``drop`` it, ``fail`` the query, or ``keep`` it with the
     line in ``_corrupt_record``. Lines are parsed whole, so which lines are bad
     does not depend on the columns a query selects. ``limit`` keeps that many
-    records; ``require_records`` raises ``ValueError`` if none is valid.
+    valid records, for a look at a few files; ``require_records`` raises
+    ``ValueError`` if none is valid.
 
     A gzip file is one task. ``partitions`` spreads the parsed records when
     there are fewer files than cores.
