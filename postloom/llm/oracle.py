@@ -2,6 +2,45 @@
 
 from __future__ import annotations
 
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+
+def _shingles(table: str, key: str) -> str:
+    return f"""
+  SELECT DISTINCT {key}, array_to_string(w[i:i+4], ' ') AS s
+  FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
+        FROM (SELECT {key}, {_WORDS} AS w FROM {table}) WHERE len(w) > 0)"""
+
+
+CONTAINED = f"""
+WITH d AS ({_shingles("documents", "doc_id")}),
+b AS ({_shingles("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, b.item_id, n_item, count(*) AS n_found, CAST(count(*) AS DOUBLE) / n_item AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, b.item_id, n_item HAVING CAST(count(*) AS DOUBLE) / n_item >= 0.8
+"""
+
+SIMILAR = f"""
+WITH RECURSIVE d AS ({_shingles("documents", "doc_id")}),
+n AS (SELECT doc_id, count(*) AS n, string_agg(s, '|' ORDER BY s) AS whole FROM d GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (
+  SELECT x, y, nx.whole AS wx, ny.whole AS wy
+  FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE CAST(c AS DOUBLE) / (nx.n + ny.n - c) >= 0.8),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+least_id AS (SELECT x, least(x, min(y)) AS class_id FROM r GROUP BY x),
+links AS (SELECT x, count(*) AS n_links, count(DISTINCT CASE WHEN wx <> wy THEN wy END) AS texts FROM l GROUP BY x),
+copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY whole) AS copy_id, count(*) OVER (PARTITION BY whole) AS k FROM n)
+SELECT o.doc_id, coalesce(class_id, o.doc_id) AS class_id, coalesce(copy_id, o.doc_id) AS copy_id,
+       coalesce(k, 1) AS n_copies, coalesce(n_links, 0) AS n_links, coalesce(texts, 0) AS n_linked_texts
+FROM documents o LEFT JOIN least_id li ON li.x = o.doc_id LEFT JOIN links k ON k.x = o.doc_id
+LEFT JOIN copies c ON c.doc_id = o.doc_id
+"""
+
 EXACT = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
@@ -52,6 +91,8 @@ FROM c LEFT JOIN x ON x.doc_id IS NOT DISTINCT FROM c.doc_id AND x.rk = c.rk
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontaminate": CONTAINED,
+        "op3_jaccard_join": SIMILAR,
         "op5_mix_sources": MIX,
         "op7_exact_dedup": EXACT,
     }

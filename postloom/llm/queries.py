@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from postloom.llm.common import documents, fresh_path
+from postloom.llm.contamination import contained_items
 from postloom.llm.exact import exact_duplicates
+from postloom.llm.jaccard import similar_documents
 from postloom.llm.mixing import mix_sources
 from postloom.llm.tokens import read_tokens, with_crc32, write_tokens
 
@@ -22,6 +24,14 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(read_tokens(spark, path))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(documents(spark, sf_dir)).drop("copy_key", "class_key")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("n_copies")
 
