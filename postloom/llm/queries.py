@@ -12,6 +12,8 @@ from postloom.llm.contamination import contained_items
 from postloom.llm.exact import exact_duplicates
 from postloom.llm.jaccard import similar_documents
 from postloom.llm.mixing import mix_sources
+from postloom.llm.privacy import find_private
+from postloom.llm.secrets import find_secrets
 from postloom.llm.tokens import read_tokens, with_crc32, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir)).drop("copy_key", "class_key")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("n_copies")
 
@@ -40,6 +46,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(documents(spark, sf_dir)).drop("found")
+
+
 def queries() -> dict[str, Query]:
     return {
         name: query
