@@ -12,7 +12,7 @@ WEIGHTS = (5, 2, 1)
 COPIES = 3
 
 #: Rows of one source that a window task numbers at a time.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 5_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
