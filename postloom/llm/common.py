@@ -167,18 +167,29 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+class SpanHashes:
+    """Hashes of any spans of some bytes, from one prefix sum."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_ODD, n), out=self.sums[1:])
+        self.inverse = _power_table(_INVERSE, n + 1)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return mix64(total + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums over about ``CHUNK_BYTES`` at a time."""
+    """A 64-bit hash of each word, with prefix sums over about ``CHUNK_BYTES`` at a time."""
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
         low = int(starts[at])
         to = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
-        n = int(ends[to - 1]) - low
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data[low : low + n].astype(np.uint64) + np.uint64(1)) * _power_table(_ODD, n), out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mix64((sums[e] - sums[s]) * _power_table(_INVERSE, n)[s] + (e - s).astype(np.uint64))
+        hashes = SpanHashes(data[low : int(ends[to - 1])])
+        out[at:to] = hashes.of(starts[at:to] - low, ends[at:to] - low)
         at = to
     return out
 

@@ -13,8 +13,10 @@ from postloom.llm.exact import exact_duplicates
 from postloom.llm.jaccard import similar_documents
 from postloom.llm.mixing import mix_sources
 from postloom.llm.privacy import find_private
+from postloom.llm.quality import score_quality
 from postloom.llm.secrets import find_secrets
 from postloom.llm.tokens import read_tokens, with_crc32, write_tokens
+from postloom.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,10 +44,18 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("n_copies")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(documents(spark, sf_dir)).drop("found")
 
