@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import stage
+from postloom.llm.common import attach, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -65,7 +65,11 @@ def _place(copy: int) -> Column:
     return F.struct(_finish(copy).alias("finish"), "rank", "key", "doc_id", "size", F.lit(copy).alias("copy"))
 
 
-def mix_sources(
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mixture(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     copies: int = COPIES,
@@ -73,48 +77,47 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-) -> DataFrame:
-    """How often the mix takes each document.
+) -> tuple[DataFrame, DataFrame, int]:
+    """How often the mix takes each distinct (id, source, size), the sizes of all rows, and their number.
 
     Documents are shuffled by a hash of seed and id. A document's copy finishes
     at (its source's words up to its end, the copy's earlier rounds included) /
     target. All copies are range-sorted by finish time; the mix is the longest
     run of them whose words stay within the sum of all sizes. The running sums use
     slices of the shuffled order and ranges of the finish times, so no task holds a whole
-    source and a source with any share of the rows is spread.
-
-    Result: ``doc_id, size, source_size, target, taken, n_copies``, one row per
-    input row; ``taken`` is ``size * n_copies``. A null text has size 0, a
-    document without words is taken once if its first copy lies in the mix. Null ids and
-    repeated rows count like others; the same rows give the same result whatever their
-    order. No words at all or an empty table: targets 0, nothing taken.
+    source and a source with any share of the rows is spread. Rows of equal id,
+    source and size are one entry, with one finish time.
     """
     spark = docs.sparkSession
-    key = F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     sized = stage(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            key.alias("key"),
+            F.struct(
+                F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size")
+            ).alias("at")
         ),
         "sizes",
     )
     n = sized.count()
+    key = F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col("at.doc_id").cast("string"), F.lit(""))), 256)
     slices = 1
     while slices * SLICE_ROWS < n:
         slices *= 2
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    sliced = sized.withColumn("slice", F.shiftright(head * slices, 32))
-
-    targets = stage(source_targets(sized, weights, copies), "targets")
+    entries = (
+        sized.groupBy("at")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select("at", "at.*", "rows", key.alias("key"))
+        .withColumn("words", F.col("size") * F.col("rows"))
+        .withColumn("slice", F.shiftright(head * slices, 32))
+    )
+    targets = stage(source_targets(sized.select("at.source", "at.size"), weights, copies), "targets")
     in_source = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy("source", "slice")
-        .agg(F.sum("size").alias("in_slice"))
+        entries.groupBy("source", "slice")
+        .agg(F.sum("words").alias("in_slice"))
         .withColumn("before", F.coalesce(F.sum("in_slice").over(in_source), F.lit(0)))
         .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .select(F.col("source").alias("of"), F.col("slice").alias("at"), "before", "rank", "source_size", "target")
+        .select(F.col("source").alias("of"), F.col("slice").alias("in"), "before", "rank", "source_size", "target")
     )
     in_slice = (
         Window.partitionBy("source", "slice")
@@ -122,54 +125,82 @@ def mix_sources(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     placed = stage(
-        sliced.withColumn("within", F.sum("size").over(in_slice))
-        .join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
+        entries.withColumn("within", F.sum("words").over(in_slice))
+        .join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("in")))
         .select(
-            "doc_id", "size", "key", "rank", "source_size", "target",
+            "at", "doc_id", "size", "words", "rows", "key", "rank", "source_size", "target",
             (F.col("before") + F.col("within")).alias("cumulative"),
         ),
         "placed",
     )
 
     # the global range sort; each range's words, then the range where the budget ends
+    names = ["finish", "rank", "key", "doc_id", "size", "copy"]
     places = (
-        placed.select(F.explode(F.array(*map(_place, range(copies)))).alias("place"))
-        .select("place.*")
+        placed.select("words", F.explode(F.array(*map(_place, range(copies)))).alias("place"))
+        .select("words", "place.*")
         .where(F.col("finish").isNotNull())
     )
-    names = ["finish", "rank", "key", "doc_id", "size", "copy"]
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), copies * n // 500_000 + 1)
     ordered = stage(
         places.repartitionByRange(ranges, *names).withColumn("part", F.spark_partition_id()), "ordered"
     )
-    budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    budget = sized.agg(F.coalesce(F.sum("at.size"), F.lit(0))).first()[0]
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ending = (
         ordered.groupBy("part")
-        .agg(F.sum("size").alias("in_part"))
+        .agg(F.sum("words").alias("in_part"))
         .withColumn("before", F.coalesce(F.sum("in_part").over(before), F.lit(0)))
         .where(F.col("before") + F.col("in_part") > budget)
         .orderBy("part")
         .first()
     )
-    if ending is None:
-        n_copies = sum((_finish(c).isNotNull().cast("int") for c in range(copies)), F.lit(0))
-    else:
+    in_mix = F.lit(True)
+    if ending is not None:
         running = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
-        out = (
+        row = (
             ordered.where(F.col("part") == ending["part"])
-            .withColumn("words", F.sum("size").over(running) + ending["before"])
-            .where(F.col("words") > budget)
+            .withColumn("taken", F.sum("words").over(running) + ending["before"])
+            .where(F.col("taken") > budget)
             .agg(F.min(F.struct(*names)).alias("cut"))
+            .first()["cut"]
         )
-        row = out.first()["cut"]
-        cut = F.struct(*(F.lit(row[f]).cast(ordered.schema[f].dataType).alias(f) for f in names))
-        n_copies = sum(
-            ((_finish(c).isNotNull() & (_place(c) < cut)).cast("int") for c in range(copies)), F.lit(0)
-        )
+        in_mix = F.struct(*(F.lit(row[f]).cast(ordered.schema[f].dataType).alias(f) for f in names))
+    n_copies = F.lit(0)
+    for c in range(copies):
+        inside = F.lit(True) if ending is None else _place(c) < in_mix
+        n_copies = n_copies + (_finish(c).isNotNull() & inside).cast("int")
     counted = F.when(F.col("size") == 0, F.least(n_copies, F.lit(1))).otherwise(n_copies).cast("long")
-    return placed.select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("size") * counted).alias("taken"),
-        counted.alias("n_copies"),
+    return placed.select("at", "rows", "source_size", "target", counted.alias("n_copies")), sized, n
+
+
+def mix_sources(docs: DataFrame, **settings) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, n_copies`` of each row; see ``mixture``.
+
+    ``taken`` is ``size * n_copies``. A null text has size 0; a document
+    without words is taken once if its first copy lies in the mix. Null ids and sources
+    count like others (the null source is the last). Repeated rows count as many times as they stand and are
+    taken alike; the same rows give the same result whatever their order. No words at all
+    or an empty table: targets 0, nothing taken. Other columns are ignored.
+    """
+    entries, sized, n = mixture(docs, **settings)
+    return attach(sized, entries, ["at"], "rows", n).select(
+        "at.doc_id", "at.size", "source_size", "target",
+        (F.col("at.size") * F.col("n_copies")).alias("taken"),
+        "n_copies",
+    )
+
+
+def repeat_taken(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings
+) -> DataFrame:
+    """The rows, with all their columns, each as often as the mix takes it."""
+    entries, _, n = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    at = F.struct(
+        F.col(of[id_col]).alias("doc_id"), F.col(of[source_col]).alias("source"), _size(F.col(of[text_col])).alias("size")
     )
+    taken = attach(docs.toDF(*names).withColumn("at", at), entries, ["at"], "rows", n)
+    times = F.explode(F.array_repeat(F.lit(1), F.col("n_copies").cast("int")))
+    return taken.select(*names, times.alias("time")).drop("time").toDF(*docs.columns)
