@@ -12,6 +12,7 @@ from postloom.llm.contamination import contained_items
 from postloom.llm.exact import exact_duplicates
 from postloom.llm.jaccard import similar_documents
 from postloom.llm.mixing import mix_sources
+from postloom.llm.passages import repeated_passages
 from postloom.llm.privacy import find_private
 from postloom.llm.quality import score_quality
 from postloom.llm.secrets import find_secrets
@@ -52,6 +53,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
