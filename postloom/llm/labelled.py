@@ -123,6 +123,11 @@ def fit_scale(margins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tu
     return max(float(at[0]), 1e-3) / max(float(np.abs(margins).max()), 1e-9), float(at[1])
 
 
+def scores(model: dict[str, np.ndarray], margins: np.ndarray) -> np.ndarray:
+    """Six digits: how texts are batched moves later ones."""
+    return np.round(sigmoid(model["scale"][0] * np.asarray(margins, dtype=np.float64) + model["scale"][1]), 6)
+
+
 def score_texts(
     rows: DataFrame, model: dict[str, np.ndarray], margins: Callable[[dict, list], np.ndarray], keep: list[str]
 ) -> DataFrame:
@@ -140,7 +145,7 @@ def score_texts(
                 part = batch.slice(at, 256)
                 texts = part.column(0).to_pylist()
                 if own:
-                    score = sigmoid(own["scale"][0] * margins(own, texts) + own["scale"][1])
+                    score = scores(own, margins(own, texts))
                 else:
                     score = np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays(

@@ -25,8 +25,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"^([A-Za-z]+|[0-9]+|[a-z]+([_/=+-][a-z]+)+)$"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Probability that any transition has at least, seen or not.
-FLOOR = 0.001
+#: Transitions that a character's own share of all counts as, beside those counted after another.
+BACK_OFF = 10
 #: Log-likelihood ratios are kept as whole thousandths, so that sums are exact.
 SCALE = 1000
 #: A candidate is random if its mean ratio per transition is at least this.
@@ -65,7 +65,7 @@ def train_ratio(samples: DataFrame) -> list[int] | None:
     """Log-likelihood ratios of all transitions, in thousandths, from ``sample, secret``.
 
     Two first-order Markov models over ``ALPHABET`` are counted over all
-    samples; the result has one entry per pair of characters. Null without samples
+    samples and backed off to how common a character is; the result has one entry per pair of characters. Null without samples
     of both labels.
     """
     k = len(ALPHABET)
@@ -75,11 +75,14 @@ def train_ratio(samples: DataFrame) -> list[int] | None:
     if not all(any(map(any, c)) for c in counts.values()):
         return None
 
+    shares = {}
+    for label, rows in counts.items():
+        total = sum(map(sum, rows))
+        shares[label] = [(sum(row[b] for row in rows) + 1) / (total + k) for b in range(k + 1)]
+
     def probability(label: bool, a: int, b: int) -> float:
         row = counts[label][a]
-        total = sum(row)
-        share = row[b] / total if total else 1 / k
-        return (share + FLOOR) / (1 + k * FLOOR)
+        return (row[b] + BACK_OFF * shares[label][b]) / (sum(row) + BACK_OFF)
 
     return [
         round(SCALE * math.log(probability(True, a, b) / probability(False, a, b)))

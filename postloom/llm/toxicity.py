@@ -19,6 +19,7 @@ from postloom.llm.labelled import (
     held_out,
     labelled_sample,
     score_texts,
+    scores,
     sigmoid,
 )
 
@@ -204,33 +205,33 @@ def fit_toxicity(texts: list, langs: list, labels: np.ndarray, sizes: dict[int,
     margins = _margins(model, [texts[i] for i in use])
     weight = class_weights(labels[use], sizes)
     scale = fit_scale(margins, labels[use], weight)
-    scores = sigmoid(scale[0] * margins + scale[1])
-    names, thresholds = _thresholds(scores, labels[use], weight, [langs[i] for i in use])
+    found = scores({"scale": np.array(scale)}, margins)
+    names, thresholds = _thresholds(found, labels[use], weight, [langs[i] for i in use])
     return model | {"scale": np.array(scale), "languages": names, "thresholds": thresholds}
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+def best_threshold(found: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
     """The threshold of the best F1; the middle of the gap it may lie in."""
-    order = np.argsort(-scores, kind="stable")
+    order = np.argsort(-found, kind="stable")
     hits = np.cumsum((labels * weight)[order])
     f1 = 2 * hits / (np.cumsum(weight[order]) + (labels * weight).sum())
-    ends = np.append(scores[order][1:] != scores[order][:-1], True)
+    ends = np.append(found[order][1:] != found[order][:-1], True)
     best = int(np.argmax(np.where(ends, f1, -1)))
-    low = scores[order][best + 1] if best + 1 < len(order) else 0.0
-    return float((scores[order][best] + low) / 2)
+    low = found[order][best + 1] if best + 1 < len(order) else 0.0
+    return float((found[order][best] + low) / 2)
 
 
 def _thresholds(
-    scores: np.ndarray, labels: np.ndarray, weight: np.ndarray, langs: list
+    found: np.ndarray, labels: np.ndarray, weight: np.ndarray, langs: list
 ) -> tuple[np.ndarray, np.ndarray]:
     """One threshold for each language with enough rows of both classes; the first, of name '', is for all others."""
-    names, values = [""], [best_threshold(scores, labels, weight)]
+    names, values = [""], [best_threshold(found, labels, weight)]
     langs = np.array([x or "" for x in langs])
     for lang in sorted(set(langs) - {""}):
         own = langs == lang
         if min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= LANGUAGE_ROWS:
             names.append(str(lang))
-            values.append(best_threshold(scores[own], labels[own], weight[own]))
+            values.append(best_threshold(found[own], labels[own], weight[own]))
     return np.array(names), np.array(values)
 
 
@@ -314,7 +315,7 @@ def drop_toxic(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(at_text).to_pylist()
-                score = sigmoid(own["scale"][0] * _margins(own, texts) + own["scale"][1])
+                score = scores(own, _margins(own, texts))
                 limit = np.array([limits.get(x, limits[""]) for x in part.column(at_lang).to_pylist()])
                 yield part.filter(pa.array((score < limit) | np.array([not t for t in texts])))
 
