@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.schemas import URI_AUTHOR_PATTERN
+from postloom.schemas import STOP_WORDS, URI_AUTHOR_PATTERN
 
 SPACE = r"\s\x0B\p{Z}"
 WORD_OR_MARK = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_{SPACE}]"
@@ -71,8 +71,8 @@ def _ratio_or_zero(pair: Column) -> Column:
     return F.when(pair["d"] == 0, F.lit(0.0)).when(pair["d"] > 0, pair["n"] / pair["d"])
 
 
-def repeatability(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
-    """Non-stop-word tokens divided by the distinct ones among them."""
+def repeatability(text: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """Tokens that are no stop words, divided by the distinct ones among them."""
     tokens = word_tokens(text)
     if stop_words:
         stops = [w.lower() for w in stop_words]

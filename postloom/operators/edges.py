@@ -29,11 +29,11 @@ def repost_edges(
     ``same_day=True`` matches a repost only with a post ingested on the same
     day and keeps ``ingest_date`` in the output; ``False`` matches across days.
 
-    Both sides are made distinct before the join, where the rows are narrow and
-    copies collapse on the map side; with copies left in, a key would emit
-    copies x copies rows. A viral post then is one post row and many reposts,
-    which the adaptive skew join splits. The closing DISTINCT merges versions of
-    a post with equal content; reposter and time are in its key, so it spreads.
+    A post's content (author, text, tags) gets a digest, and copies of reposts and
+    posts are removed before the join; what is joined and made distinct then are
+    narrow rows, however often a long text is reposted. A viral post is one row on
+    the post side and many reposts, which the adaptive skew join splits. The
+    texts come back last, one row for each content.
     """
     day = ["ingest_date"] if same_day else []
     keys = ["post_id", "post_cid", *day]
@@ -49,20 +49,20 @@ def repost_edges(
         )
         .distinct()
     )
-    posts = (
-        english_posts(firehose, min_len, lang)
-        .select(
-            F.col("author").alias("target"),
-            F.col("uri").alias("post_id"),
-            F.col("cid").alias("post_cid"),
-            "text",
-            "langs",
-            *day,
-        )
-        .distinct()
+    content = F.struct(F.col("author").alias("target"), "text", "langs")
+    posts = english_posts(firehose, min_len, lang).select(
+        F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256).alias("content"),
+        "author", "text", "langs",
+        F.col("uri").alias("post_id"),
+        F.col("cid").alias("post_cid"),
+        *day,
     )
-    return (
-        reposts.join(posts, keys, "inner")
-        .select("source", "target", "post_id", "repost_created_at", "text", "langs", *day)
+    contents = posts.select("content", F.col("author").alias("target"), "text", "langs").dropDuplicates(["content"])
+    edges = (
+        reposts.join(posts.select("content", *keys).distinct(), keys, "inner")
+        .select("source", "post_id", "repost_created_at", "content", *day)
         .distinct()
     )
+    return edges.join(contents, "content").select(
+        "source", "target", "post_id", "repost_created_at", "text", "langs", *day
+    )

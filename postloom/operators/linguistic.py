@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from postloom.functions import complexity, readability, repeatability
+from postloom.schemas import STOP_WORDS
 
 
 def linguistic_features(
-    df: DataFrame, text_col: str = "text", stop_words: Sequence[str] = ()
+    df: DataFrame, text_col: str = "text", stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
     """Add ``repeatability``, ``complexity`` and ``readability``."""
     return df.withColumns(

@@ -6,14 +6,13 @@ A job takes any number of days at once; what one run per day did is the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.functions import is_create, is_kind
+from postloom.functions import has_lang, is_create, is_kind, min_length
 from postloom.operators.classify import load_text_models, score_text_labels
 from postloom.operators.composites import lexicon_composites
 from postloom.operators.describe import describe_features
@@ -21,36 +20,33 @@ from postloom.operators.edges import repost_edges
 from postloom.operators.lexicon import collect_lexicon, lexicon_features
 from postloom.operators.linguistic import linguistic_features
 from postloom.operators.posts import unique_posts, user_posts
-from postloom.schemas import FIREHOSE, LANGUAGE, MIN_TEXT_LENGTH, POST, REPOST, TEXT_LABELS
-from postloom.sinks import write_by_date, write_table
-from postloom.sources import read_firehose, read_lexicon, read_posts, read_user_list
+from postloom.plans.scratch import scratch_path
+from postloom.schemas import FIREHOSE, LANGUAGE, MIN_TEXT_LENGTH, POST, REPOST, STOP_WORDS, TEXT_LABELS
+from postloom.sinks import remove, write_by_date, write_table
+from postloom.sources import dates_of_files, read_firehose, read_lexicon, read_posts, read_user_list
 
 Paths = str | Sequence[str]
 UNKNOWN_DATE = "unknown_date"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
-
-    Only a local session without that setting falls back to a local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="postloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stage_firehose(spark: SparkSession, firehose: DataFrame, path: str) -> DataFrame:
-    """Write event records once as Parquet by day and kind, and read them back.
+def stage_firehose(
+    spark: SparkSession,
+    firehose: DataFrame,
+    path: str,
+    min_len: int = MIN_TEXT_LENGTH,
+    lang: str = LANGUAGE,
+) -> DataFrame:
+    """Write what the edge join reads once as Parquet by day and kind, and read it back.
 
-    JSON is parsed a single time then, and each later branch reads the columns
-    and the kind it needs.
+    JSON is parsed a single time then. Posts that don't qualify and columns that
+    the join doesn't read are left out before; an event file is of one day
+    already, so its records are written where they were parsed.
     """
-    firehose.hint("rebalance", F.col("ingest_date"), F.col("type")).write.mode(
-        "overwrite"
-    ).partitionBy("ingest_date", "type").parquet(path)
+    posts = is_kind(POST) & min_length(n=min_len) & has_lang(lang=lang)
+    needed = firehose.where(is_create() & (is_kind(REPOST) | posts))
+    needed.select(
+        "action", "type", "author", "createdAt", "uri", "cid", "text", "langs", "subject", "ingest_date"
+    ).write.partitionBy("ingest_date", "type").parquet(path)
     return spark.read.schema(FIREHOSE).parquet(path)
 
 
@@ -62,29 +58,45 @@ def repost_edges_job(
     min_len: int = MIN_TEXT_LENGTH,
     lang: str = LANGUAGE,
 ) -> None:
-    """Event files -> repost edges of each day, in time order."""
-    records = read_firehose(spark, input).where(
-        is_create() & (is_kind(POST) | is_kind(REPOST))
-    )
-    staged = stage_firehose(spark, records, staging or scratch_path(spark, "firehose"))
-    write_by_date(
-        repost_edges(staged, min_len, lang, same_day=True),
-        output,
-        order_by=["repost_created_at", "source", "post_id"],
-    )
+    """Event files -> repost edges of each day, in time order; a rerun replaces all days of the input.
+
+    ``staging`` is a folder for the staged records; each run uses its own
+    subfolder of it and removes that afterwards.
+    """
+    path = f"{staging.rstrip('/')}/run-{uuid.uuid4().hex}" if staging else scratch_path(spark, "firehose")
+    try:
+        staged = stage_firehose(spark, read_firehose(spark, input), path, min_len, lang)
+        write_by_date(
+            repost_edges(staged, min_len, lang, same_day=True),
+            output,
+            order_by=["repost_created_at", "source", "post_id"],
+            days=dates_of_files(spark, _listed(input)),
+        )
+    finally:
+        remove(spark, path)
+
+
+def _listed(paths: Paths) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
 
 
 def user_posts_job(
     spark: SparkSession, input: Paths, users: str, output: str, lang: str = LANGUAGE
 ) -> None:
-    """Event files and a user list -> those users' posts by day, in time order."""
+    """Event files and a user list -> those users' posts by day, in time order.
+
+    A rerun replaces all days of the input, those without any post included.
+    """
     posts = user_posts(read_firehose(spark, input), read_user_list(spark, users), lang)
-    write_by_date(posts, output, order_by=["createdAt", "author", "post_id"])
+    days = dates_of_files(spark, _listed(input))
+    write_by_date(posts, output, order_by=["createdAt", "author", "post_id"], days=days)
 
 
-def unique_posts_job(spark: SparkSession, input: Paths, output: str) -> None:
+def unique_posts_job(
+    spark: SparkSession, input: Paths, output: str, dates: Sequence[str] | None = None
+) -> None:
     """Daily post files -> one table of unique posts."""
-    write_table(unique_posts(read_posts(spark, input)), output)
+    write_table(unique_posts(read_posts(spark, input, dates)), output)
 
 
 def lexicon_job(
@@ -95,12 +107,13 @@ def lexicon_job(
     dict_path: str,
     output: str,
     stems: str = "match",
+    dates: Sequence[str] | None = None,
 ) -> DataFrame:
     """Post files -> category counts by day; returns a description of those days."""
     lexicon = collect_lexicon(read_lexicon(spark, map_path, dict_path))
-    posts = read_posts(spark, input, require_date=True).where(is_kind(POST))
+    posts = read_posts(spark, input, dates, require_date=True).where(is_kind(POST))
     write_by_date(lexicon_features(posts, text_column, lexicon, stems=stems), output)
-    days = [row.ingest_date for row in posts.select("ingest_date").distinct().collect()]
+    days = list(dates) if dates is not None else dates_of_files(spark, _listed(input))
     written = _dated(spark.read.parquet(output)).where(F.col("ingest_date").isin(days))
     return describe_features(written, ["wordCount", *lexicon.categories])
 
@@ -119,10 +132,11 @@ def linguistic_job(
     input: Paths,
     text_column: str,
     output: str,
-    stop_words: Sequence[str] = (),
+    stop_words: Sequence[str] = STOP_WORDS,
+    dates: Sequence[str] | None = None,
 ) -> None:
     """Post files -> text statistics by day; undated files go to one partition."""
-    posts = read_posts(spark, input, default_date=UNKNOWN_DATE)
+    posts = read_posts(spark, input, dates, default_date=UNKNOWN_DATE)
     write_by_date(linguistic_features(posts, text_column, stop_words), output)
 
 
@@ -133,8 +147,9 @@ def classifier_job(
     models: str,
     output: str,
     labels: Sequence[str] = tuple(TEXT_LABELS),
+    dates: Sequence[str] | None = None,
 ) -> None:
     """Post files and saved models -> one prediction column per label, by day."""
-    posts = read_posts(spark, input, require_date=True)
+    posts = read_posts(spark, input, dates, require_date=True)
     bundle = load_text_models(spark, models, labels)
     write_by_date(score_text_labels(posts, text_column, bundle).drop(text_column), output)

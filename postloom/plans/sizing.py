@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def broadcast_if_small(
@@ -25,22 +24,3 @@ def broadcast_if_small(
     width = reduce(add, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns])
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a file scan that would leave most cores idle.
-
-    For per-row text work on a few small files, which are one task each. A scan
-    with as many files or splits as cores comes back unchanged, so big inputs
-    are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    size = (
-        df.select("_metadata.file_path", "_metadata.file_size")
-        .distinct()
-        .agg(F.coalesce(F.sum("file_size"), F.lit(0)))
-        .first()[0]
-    )
-    return df if size >= cores * SPLIT_BYTES else df.repartition(cores)

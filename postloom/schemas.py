@@ -38,8 +38,6 @@ COMPOSITES = {
 
 TEXT_LABELS = ["anxiety", "stress", "depression", "suicide", "psychosis", "loneliness"]
 LABEL_PREFIX = "DASS_"
-# ---------------------------------------------------------------------------
-
 _S = T.StringType()
 
 
@@ -72,10 +70,23 @@ POSTS = _struct(
     ("langs", T.ArrayType(_S)),
 )
 
+# ---------------------------------------------------------------------------
+
 LEXICON = _struct(
     ("cat_idx", T.IntegerType()),
     ("cat_name", _S),
     ("keyword", _S),
     ("is_stem", T.BooleanType()),
-    ("entry", T.IntegerType()),
+    ("entry", T.LongType()),
 )
+
+#: English function words that say little about how varied a text is.
+STOP_WORDS = """
+a about above after again against all am an and any are as at be because been before being below between both
+but by can could did do does doing done down during each either else ever every few for from further had has have
+having he her here hers herself him himself his how however i if in into is it its itself just let may me might mine
+more most much must my myself neither no nor not now of off on once one only onto or other others our ours ourselves
+out over own per rather same shall she should since so some such than that the their theirs them themselves then
+there these they this those though through thus to too toward under until up upon us very was we were what when
+where whether which while who whom whose why will with within without would yet you your yours yourself yourselves
+""".split()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["write_by_date", "write_csv", "write_table"]
+__all__ = ["remove", "write_by_date", "write_csv", "write_table"]
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -20,13 +20,20 @@ def write_by_date(
     path: str,
     order_by: Sequence[str] = (),
     date_col: str = "ingest_date",
+    days: Sequence[str] | None = None,
 ) -> None:
     """One directory per day; a rerun replaces only the days it holds.
 
+    ``days`` names the days that were processed: those that got no row now lose
+    what an earlier run left of them, once the others are written.
+
     Without an order the rows are rebalanced by day, which splits big days over
     several tasks and files. With one, days are cut into ranges of it: files of
     a day follow each other in order, and a big day still spreads.
     """
+    spark = df.sparkSession
+    folders = {day: f"{path.rstrip('/')}/{date_col}={day}" for day in days or ()}
+    before = {day: _files(spark, folder) for day, folder in folders.items()}
     if order_by:
         order = [F.col(c).asc_nulls_last() for c in (date_col, *order_by)]
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -35,6 +42,26 @@ def write_by_date(
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         date_col
     ).parquet(path)
+    # a write gives new file names; a day that kept its old ones got no row
+    for day, folder in folders.items():
+        if before[day] and _files(spark, folder) == before[day]:
+            remove(spark, folder)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _files(spark: SparkSession, path: str) -> set[str]:
+    fs, at = _folder(spark, path)
+    return {f.getPath().getName() for f in fs.listStatus(at)} if fs.exists(at) else set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that its path names, if it is there."""
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

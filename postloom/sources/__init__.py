@@ -2,7 +2,7 @@
 
 from postloom.sources.actions import read_actions_csv
 from postloom.sources.checks import require_columns
-from postloom.sources.dates import date_of_path, with_ingest_date
+from postloom.sources.dates import date_of_path, dates_of_files, with_ingest_date
 from postloom.sources.firehose import read_firehose
 from postloom.sources.lexicons import read_lexicon
 from postloom.sources.posts import file_report, read_posts
@@ -10,6 +10,7 @@ from postloom.sources.users import read_user_list
 
 __all__ = [
     "date_of_path",
+    "dates_of_files",
     "file_report",
     "read_actions_csv",
     "read_firehose",

@@ -1,19 +1,24 @@
-"""The ingest date comes from the file path: its first YYYY-MM-DD."""
+"""The ingest date comes from the file path: its ``ingest_date=`` folder, else its first YYYY-MM-DD."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.schemas import DATE_PATTERN
 
+FILE = "_metadata.file_path"
+
 
 def date_of_path(path: Column | str) -> Column:
-    """First date in a path, NULL when there is none."""
+    """Date in a path, NULL when there is none."""
     col = F.col(path) if isinstance(path, str) else path
-    return F.nullif(F.regexp_extract(col, DATE_PATTERN, 1), F.lit(""))
+    return F.coalesce(
+        F.nullif(F.regexp_extract(col, f"/ingest_date={DATE_PATTERN}/", 1), F.lit("")),
+        F.nullif(F.regexp_extract(col, DATE_PATTERN, 1), F.lit("")),
+    )
 
 
 def with_ingest_date(
@@ -21,13 +26,20 @@ def with_ingest_date(
 ) -> DataFrame:
     """Add ``ingest_date`` to a frame that was just read from files.
 
-    ``required=True`` raises ``ValueError`` if any input file lacks a date;
+    ``required=True`` fails the query at the first row of a file without a date;
     otherwise such rows get ``default``.
     """
-    if required:
-        for path in df.inputFiles():
-            if not re.search(DATE_PATTERN, path):
-                raise ValueError(f"Could not extract date (YYYY-MM-DD) from input path: {path}")
-    return df.withColumn(
-        "ingest_date", F.coalesce(date_of_path(F.col("_metadata.file_path")), F.lit(default))
+    missing = (
+        F.raise_error(F.concat(F.lit("No YYYY-MM-DD in the path of "), F.col(FILE)))
+        if required
+        else F.lit(default)
     )
+    dated = df.withColumn("ingest_date", F.coalesce(date_of_path(F.col(FILE)), missing.cast("string")))
+    # the check must hold for queries that don't select the date, too
+    return dated.where(F.col("ingest_date").isNotNull()) if required else dated
+
+
+def dates_of_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The days of all matching files, from their paths; nothing is opened."""
+    listed = spark.read.format("binaryFile").load(list(paths)).select(date_of_path(F.col("path")).alias("day"))
+    return sorted(r.day for r in listed.where("day IS NOT NULL").distinct().collect())

@@ -56,8 +56,9 @@ def read_firehose(
         "mode": "FAILFAST" if on_bad == "fail" else "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
     }
+    # a generator keeps the parsed record as one value: without it each later filter would parse again
     records = lines.select(
-        F.from_json("value", _LINE, options).alias("r"), "value", "ingest_date"
+        F.explode(F.array(F.from_json("value", _LINE, options))).alias("r"), "value", "ingest_date"
     )
     bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
     if on_bad == "drop":
@@ -74,5 +75,5 @@ def read_firehose(
     if limit is not None:
         records = records.limit(limit)
     if require_records and records.isEmpty():
-        raise ValueError(f"No valid JSON records found in {paths}")
+        raise ValueError(f"None of the lines in {paths} is a valid record")
     return records.repartition(partitions) if partitions else records

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered fields of the non-empty lines; a dictionary file is small."""
-    whole = spark.read.text(path, wholetext=True)
-    return (
-        whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("entry", "line"))
-        .where(F.trim("line") != "")
-        .select("entry", F.split(F.trim("line", F.lit(" \t\r")), "\t").alias("fields"))
+    """Fields of the non-empty lines, numbered in file order with gaps."""
+    lines = spark.read.text(path).withColumn("entry", F.monotonically_increasing_id())
+    return lines.where(F.trim("value", F.lit(" \t\r")) != "").select(
+        "entry", F.split(F.trim("value", F.lit(" \t\r")), "\t").alias("fields")
     )
 
 
@@ -21,7 +19,7 @@ def read_lexicon(spark: SparkSession, map_path: str, dict_path: str) -> DataFram
 
     The map file holds ``index <tab> name``, the dictionary file
     ``keyword <tab> index <tab> index ...`` with any number of categories.
-    ``entry`` is the line of the keyword. A category without keyword keeps one
+    ``entry`` follows the order of the lines. A category without keyword keeps one
     row with NULLs; indices that the map does not name are left out.
     """
     categories = _lines(spark, map_path).select(

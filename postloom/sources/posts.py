@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postloom.schemas import POSTS
-from postloom.sources.dates import with_ingest_date
+from postloom.sources.dates import FILE, with_ingest_date
 
-_DATED = T.StructType([*POSTS.fields, T.StructField("ingest_date", T.StringType())])
+log = logging.getLogger(__name__)
+
+#: A file without readable rows that is longer than this is no empty table.
+EMPTY_BYTES = 16 << 20
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -26,35 +30,62 @@ def read_posts(
     require_date: bool = False,
     default_date: str | None = None,
 ) -> DataFrame:
-    """Scan post files, skipping unreadable ones; adds ``ingest_date``.
+    """Scan post files; adds ``ingest_date`` from the path, whatever the layout.
 
-    The schema is declared, so a broken footer cannot stop schema inference.
-    Under ``ingest_date=...`` directories ``dates`` prunes whole partitions.
+    Files whose footer cannot be read are skipped whole, with a warning that
+    names them and gives the numbers of valid and all files. Damage further
+    inside a file fails the query, so a file is never read in part. ``dates`` keeps other
+    days' files from being opened.
     """
-    reader = spark.read.option("ignoreCorruptFiles", "true")
-    dated = T.StructType([*schema.fields, T.StructField("ingest_date", T.StringType())])
-    df = reader.schema(dated).parquet(*_paths(paths))
-    if not any("/ingest_date=" in path for path in df.inputFiles()[:1]):
-        df = with_ingest_date(
-            reader.schema(schema).parquet(*_paths(paths)), require_date, default_date
-        )
-    return df.where(F.col("ingest_date").isin(list(dates))) if dates is not None else df
+    report = file_report(spark, paths)
+    skipped = [r.path for r in report.where(~F.col("valid")).select("path").collect()]
+    if skipped:
+        total = report.count()
+        log.warning("Skipped %d of %d post files (%d valid): %s", len(skipped), total, total - len(skipped), skipped)
+    df = spark.read.schema(schema).parquet(*_paths(paths)).select(*schema.fieldNames(), F.col("_metadata"))
+    if skipped:
+        df = df.where(~F.col(FILE).isin(skipped))
+    df = with_ingest_date(df, require_date, default_date)
+    if dates is not None:
+        df = df.where(F.col("ingest_date").isin(list(dates)))
+    return df.drop("_metadata")
 
 
 def file_report(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Every matching file and whether it gave any readable row."""
+    """``path, n_rows, valid`` of every matching file.
+
+    A file is valid if its footer can be read; a table without rows is. Only
+    footers are read here, so later damage shows when the rows are read.
+    """
     listed = (
         spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
         .load(_paths(paths))
-        .select(F.col("_metadata.file_path").alias("path"))
     )
+    files = listed.select(F.col(FILE).alias("path"), "length")
     readable = (
         spark.read.option("ignoreCorruptFiles", "true")
-        .schema(_DATED)
+        .schema("author string")
         .parquet(*_paths(paths))
-        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .groupBy(F.col(FILE).alias("path"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    return listed.join(readable, "path", "left").select(
-        "path", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("n_rows").isNotNull().alias("valid")
+    # what gave no row is an empty table or no table: look at both ends of the few short ones
+    marks = listed.where(F.col("length").between(12, EMPTY_BYTES)).select(
+        F.col(FILE).alias("path"),
+        (
+            (F.substring("content", 1, 4) == F.lit(b"PAR1"))
+            & (F.expr("substring(content, -4, 4)") == F.lit(b"PAR1"))
+        ).alias("marked"),
+    )
+    silent = files.join(readable, "path", "left_anti")
+    empty = marks.join(F.broadcast(silent.select("path")), "path", "left_semi") if not silent.isEmpty() else marks.limit(0)
+    return (
+        files.join(readable, "path", "left")
+        .join(empty, "path", "left")
+        .select(
+            "path",
+            F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+            (F.col("n_rows").isNotNull() | F.coalesce("marked", F.lit(False))).alias("valid"),
+        )
     )

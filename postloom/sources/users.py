@@ -10,7 +10,8 @@ def read_user_list(spark: SparkSession, path: str) -> DataFrame:
     """Users of a JSON file as a one-column frame ``author``.
 
     The document is an object whose keys are user ids, or an array of ids; any
-    other shape raises ``ValueError``. One JSON document cannot be split; a list
+    other shape raises ``ValueError``, and a document that is cut off or broken fails the
+    query. One JSON document cannot be split; a list
     that outgrows it belongs in a table, and every operator takes such a frame.
     """
     document = spark.read.text(path, wholetext=True)
@@ -21,7 +22,8 @@ def read_user_list(spark: SparkSession, path: str) -> DataFrame:
         ).collect()
     }
     if kinds == {"{"}:
-        users = F.json_object_keys("value")
+        broken = F.raise_error(F.lit("The user list is no complete JSON object"))
+        users = F.coalesce(F.json_object_keys("value"), broken.cast("array<string>"))
     elif kinds == {"["}:
         users = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
     else:
