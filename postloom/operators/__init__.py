@@ -8,6 +8,7 @@ from postloom.operators.classify import (
     merge_text_models,
     save_text_models,
     score_text_labels,
+    text_labels_from_weights,
     train_text_label,
     train_text_labels,
 )
@@ -53,6 +54,7 @@ __all__ = [
     "sample_users",
     "save_text_models",
     "score_text_labels",
+    "text_labels_from_weights",
     "train_text_label",
     "train_text_labels",
     "unique_posts",

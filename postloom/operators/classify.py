@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.feature import IDF, CountVectorizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, SQLTransformer
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.common import _py2java
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,32 +61,30 @@ def train_text_labels(
     df: DataFrame,
     text_col: str,
     label_cols: Mapping[str, str],
-    vocab_size: int = 1 << 16,
-    min_df: float = 2.0,
+    num_features: int = 1 << 16,
     max_iter: int = 20,
     reg_param: float = 0.01,
 ) -> TextLabelModels:
     """Fit one linear SVM per label on shared word and word-pair features.
 
     ``label_cols`` maps a label to its 0/1 column; rows with a NULL label are
-    left out of that label's fit. The model size is bounded by ``vocab_size``,
-    whatever the corpus; fitting aggregates over partitions.
+    left out of that label's fit. Terms are hashed into ``num_features``
+    positions, the size of the model: no term is left out and no vocabulary is
+    gathered. Fitting aggregates over partitions.
     """
     columns = list(dict.fromkeys(label_cols.values()))
     texts = _with_text(df.where(F.col(text_col).isNotNull()), text_col).select(TEXT, *columns)
     stages = _term_stages()
-    # every fit below reads the terms again, so they are split only once
-    terms = PipelineModel(stages).transform(texts).select("__terms", *columns).persist()
-    counter = CountVectorizer(
-        inputCol="__terms", outputCol="__counts", vocabSize=vocab_size, minDF=min_df
-    ).fit(terms)
-    counts = counter.transform(terms)
-    weights = IDF(inputCol="__counts", outputCol=FEATURES).fit(counts)
-    vectors = weights.transform(counts).select(FEATURES, *columns).persist()
+    # every fit below reads the vectors again, so texts are split only once
+    counter = HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=num_features)
+    counts = counter.transform(PipelineModel(stages).transform(texts)).select("__counts", *columns).persist()
+    vectors = None
     svc = LinearSVC(
         featuresCol=FEATURES, labelCol="__label", maxIter=max_iter, regParam=reg_param
     )
     try:
+        weights = IDF(inputCol="__counts", outputCol=FEATURES).fit(counts)
+        vectors = weights.transform(counts).select(FEATURES, *columns).persist()
         fitted = {
             col: svc.fit(
                 vectors.where(F.col(col).isNotNull()).select(
@@ -94,8 +94,9 @@ def train_text_labels(
             for col in columns
         }
     finally:
-        vectors.unpersist()
-        terms.unpersist()
+        if vectors is not None:
+            vectors.unpersist()
+        counts.unpersist()
     vectorizer = PipelineModel([*stages, counter, weights])
     return TextLabelModels(
         dict.fromkeys(label_cols, vectorizer),
@@ -109,6 +110,21 @@ def train_text_label(
     return train_text_labels(df, text_col, {label: label_col}, **options)
 
 
+def text_labels_from_weights(
+    spark: SparkSession, weights: Mapping[str, Mapping[str, float]], intercept: float = 0.0
+) -> TextLabelModels:
+    """Models with given weights per word or word pair: a label holds where their sum is above ``-intercept``."""
+    terms = sorted({t for own in weights.values() for t in own})
+    counter = CountVectorizerModel.from_vocabulary(terms, "__terms", FEATURES)
+    vectorizer = PipelineModel([*_term_stages(), counter])
+    svc = spark.sparkContext._jvm.org.apache.spark.ml.classification.LinearSVCModel
+    classifiers = {}
+    for label, own in weights.items():
+        vector = Vectors.dense([float(own.get(t, 0.0)) for t in terms])
+        classifiers[label] = LinearSVCModel(svc(f"weights_{label}", _py2java(spark.sparkContext, vector), intercept))
+    return TextLabelModels(dict.fromkeys(weights, vectorizer), classifiers)
+
+
 def merge_text_models(*bundles: TextLabelModels) -> TextLabelModels:
     vectorizers: dict[str, PipelineModel] = {}
     classifiers: dict[str, LinearSVCModel] = {}

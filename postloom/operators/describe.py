@@ -8,85 +8,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 65_536
-QUANTILES = (0.25, 0.5, 0.75)
-
-
-def _bucket() -> Column:
-    """Equal-width bucket of ``value`` in [lo, hi]; never falls as values rise."""
-    part = (F.col("value") / 2 - F.col("lo") / 2) / F.nullif(
-        F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0)
-    )
-    return F.coalesce(F.floor(F.nanvl(part, F.lit(0.0)) * BUCKETS), F.lit(0)).cast("long")
-
-
-def _so_far(keys: Sequence[str], order: str) -> Column:
-    """Running count within ``keys`` up to and including the current group."""
-    rows = Window.partitionBy(*keys).orderBy(order)
-    return F.sum("n").over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def _holding_rank(groups: DataFrame) -> DataFrame:
-    """Keep the group inside which a rank falls, and how many values lie below it."""
-    start = F.col("upto") - F.col("n")
-    return groups.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= start)).withColumn(
-        "below", start
-    )
+from postloom.plans.scratch import scratch_path
 
+QUANTILES = (0.25, 0.5, 0.75)
 
-def _bucket_counts(values: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
-    return values.groupBy(*keys, _bucket().alias("bucket")).agg(
-        F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), *more
-    )
 
+def _ordered(counts: DataFrame, partitions: int | None) -> DataFrame:
+    """(feature, value, n) in ranges of (feature, value), numbered and written once.
 
-def _histogram(counts: DataFrame, totals: DataFrame, ranks: Column) -> DataFrame:
-    """Buckets of every column over its whole range, its squares and wanted ranks."""
-    # one row per column
-    bounds = totals.select(
-        "feature", "mean", F.col("min").alias("lo"), F.col("max").alias("hi"), ranks.alias("ranks")
-    )
-    squares = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares")
-    return _bucket_counts(
-        counts.join(F.broadcast(bounds), "feature"),
-        ["feature"],
-        squares,
-        F.first("ranks").alias("ranks"),
-    )
+    Ranges follow the distribution, so each holds about as many distinct values
+    whatever their spread. Written out, the numbers stay as they are when rows are read again.
+    """
+    spark = counts.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "describe")
+    ranges = counts.repartitionByRange(n, "feature", "value").withColumn("part", F.spark_partition_id())
+    ranges.write.parquet(path)
+    return spark.read.schema(ranges.schema).parquet(path)
 
 
-def _values_at(counts: DataFrame, histogram: DataFrame) -> DataFrame:
+def _values_at(ordered: DataFrame, totals: DataFrame, ranks: Column) -> DataFrame:
     """The value at every wanted 0-based rank of its sorted column.
 
-    The histogram shows the bucket that holds a rank. That bucket, between its
-    smallest and largest value, is cut into buckets again, and what remains is
-    ranked value by value, which keeps the answer exact. A task sees at most a
-    bucket count of rows per column or rank, and sorts only values that fall
-    into one bucket of a bucket.
+    The counts of the ranges tell which range holds a rank. Only those ranges
+    are read again, and each is ranked value by value in a task of its own.
     """
-    upto, below = F.col("upto"), F.col("upto") - F.col("n")
-    found = histogram.withColumn("upto", _so_far(["feature"], "bucket")).select(
-        "feature",
-        F.explode(F.filter("ranks", lambda r: (r >= below) & (r < upto))).alias("rank"),
-        below.alias("below"),
-        "lo",
-        "hi",
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per column and range
+    parts = (
+        ordered.groupBy("feature", "part")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(F.broadcast(totals.select("feature", ranks.alias("ranks"))), "feature")
     )
-
-    def inside(found: DataFrame) -> DataFrame:
-        # at most two rows per quantile and column
-        ranges = F.broadcast(found.select("feature", "rank", "below", "lo", "hi"))
-        return counts.join(ranges, "feature").where(F.col("value").between(F.col("lo"), F.col("hi")))
-
-    keys = ["feature", "rank", "below"]
-    groups = _bucket_counts(inside(found), keys)
-    found = _holding_rank(
-        groups.withColumn("upto", F.col("below") + _so_far(["feature", "rank"], "bucket"))
-    )
-    values = inside(found).withColumn(
-        "upto", F.col("below") + _so_far(["feature", "rank"], "value")
-    )
-    return _holding_rank(values).select("feature", "rank", "value")
+    inside = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
+    wanted = parts.select("feature", "part", "below", inside.alias("ranks")).where(F.size("ranks") > 0)
+    so_far = Window.partitionBy("feature", "part").orderBy("value")
+    upto = F.col("below") + F.sum("n").over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # at most two ranges per quantile and column
+    rows = ordered.join(F.broadcast(wanted), ["feature", "part"]).withColumn("upto", upto)
+    held = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    return rows.select("feature", F.explode(held).alias("rank"), "value")
 
 
 def _quantile_name(q: float) -> str:
@@ -97,12 +59,15 @@ def describe_features(
     df: DataFrame,
     cols: Sequence[str] | None = None,
     quantiles: Sequence[float] = QUANTILES,
+    partitions: int | None = None,
 ) -> DataFrame:
     """count, mean, std, min, quantiles, max; one row per numeric column.
 
     NULL and NaN count as missing. Quantiles are exact with linear
     interpolation. Rows are first reduced to (column, value, count), so a value
-    that most rows share costs one row per task.
+    that most rows share costs one row per task. ``partitions`` is the number of
+    ranges that the distinct values are sorted into, the session's shuffle
+    partitions unless given.
     """
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -110,12 +75,13 @@ def describe_features(
         raise ValueError("No numeric column to describe")
 
     quoted = {c: F.col("`" + c.replace("`", "``") + "`").cast("double") for c in cols}
-    counts = (
+    counts = _ordered(
         df.select([col.alias(f"__{i}") for i, col in enumerate(quoted.values())])
         .unpivot([], [f"__{i}" for i in range(len(cols))], "feature", "value")
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        partitions,
     )
     totals = counts.groupBy("feature").agg(
         F.sum("n").alias("count"),
@@ -125,9 +91,10 @@ def describe_features(
     )
     positions = [(F.col("count") - 1) * F.lit(q) for q in quantiles]
     ranks = F.array_distinct(F.array(*[f(p) for p in positions for f in (F.floor, F.ceil)]))
-    histogram = _histogram(counts, totals, ranks)
-    spread = histogram.groupBy("feature").agg(F.sum("squares").alias("squares"))
-    at_rank = _values_at(counts, histogram).groupBy("feature").agg(
+    squares = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares")
+    means = F.broadcast(totals.select("feature", "mean"))
+    spread = counts.join(means, "feature").groupBy("feature").agg(squares)
+    at_rank = _values_at(counts, totals, ranks).groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
     )
 

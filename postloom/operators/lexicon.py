@@ -13,8 +13,8 @@ Three strategies with equal results:
            by hash lookup, so cost grows with words. Categories that hold
            phrases or punctuation use the alternation as well, but only on
            rows where such an entry occurs at all. No shuffle. The default.
-``join``   (``lexicon_counts_join``) words joined with the lexicon table, for
-           lexicons too long to be written into an expression.
+``join``   (``lexicon_counts_join``) the texts' distinct words joined with the
+           lexicon table, for lexicons of any length.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions import word_count
+from postloom.plans.scratch import scratch_path
 from postloom.plans.sizing import broadcast_if_small
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 WORD_RUN = WORD_CHAR + "+"
-MAX_KEYWORDS = 200_000
 
 STEM_MODES = ("match", "ignore")
 
@@ -49,13 +49,11 @@ class Lexicon:
         return cls(dict(categories), {name: i for i, name in enumerate(categories, start=1)})
 
 
-def collect_lexicon(lexicon: DataFrame, max_keywords: int = MAX_KEYWORDS) -> Lexicon:
-    """Bring a lexicon table to the driver, once its size was checked."""
-    size = lexicon.count()
-    if size > max_keywords:
-        raise ValueError(
-            f"Lexicon has {size} entries, more than {max_keywords}; use lexicon_counts_join"
-        )
+def collect_lexicon(lexicon: DataFrame) -> Lexicon:
+    """Bring a lexicon table to the driver, for the forms that write it into an expression.
+
+    ``lexicon_counts_join`` takes the table as it is and suits long lexicons.
+    """
     categories: dict[str, list[str]] = {}
     indices: dict[str, int] = {}
     for row in lexicon.orderBy("cat_idx", "entry").collect():
@@ -242,19 +240,65 @@ def lexicon_vector(
     return counted.select(*df.columns, vector.alias(output_col))
 
 
-def _drop_covered(entries: DataFrame) -> DataFrame:
-    """``_without_covered`` on a lexicon table: a word hits a category once."""
-    stem = F.col("keyword").endswith("*")
-    word = F.when(stem, F.expr("left(keyword, length(keyword) - 1)")).otherwise(F.col("keyword"))
-    stems = entries.where(stem).select("cat_idx", word.alias("prefix"))
-    longest = F.length(word) - stem.cast("int")
-    covered = (
-        entries.withColumn("n", F.explode(F.when(longest >= 1, F.sequence(F.lit(1), longest))))
-        .select("cat_idx", "keyword", F.left(word, F.col("n")).alias("prefix"))
-        .join(stems, ["cat_idx", "prefix"], "left_semi")
-        .select("cat_idx", "keyword")
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SPECIAL = r"([\\.\[\]{}()^$|?+-])"
+
+
+def _entries(lexicon: DataFrame, stems: str) -> DataFrame:
+    """``cat_idx, keyword, entry, plain, pattern, anchor`` of the entries in use.
+
+    The anchor of an entry that is no single word or stem is a token that every match
+    holds: a whole word, a mark, or the beginning (``x*``) or end (``*x``) of a word.
+    """
+    if stems not in STEM_MODES:
+        raise ValueError(f"stems must be one of {STEM_MODES}")
+    used = lexicon.where(F.col("keyword").isNotNull() & (F.translate("keyword", "*", "") != ""))
+    if stems == "ignore":
+        used = used.where(~F.col("keyword").contains("*"))
+    order = F.col("entry") if "entry" in lexicon.columns else F.monotonically_increasing_id()
+    key = F.col("keyword")
+    first, last = F.left(key, F.lit(1)), F.right(key, F.lit(1))
+    is_word = lambda c: c.rlike(rf"^(?:{WORD_CHAR}|\*)$")
+    left = F.when(is_word(first), rf"(?<!{WORD_CHAR})").otherwise(rf"(?<={WORD_CHAR})")
+    right = F.when(is_word(last), rf"(?!{WORD_CHAR})").otherwise(rf"(?={WORD_CHAR})")
+    literal = F.regexp_replace(key, _SPECIAL, r"\\$1")
+    body = F.replace(literal, F.lit("*"), F.lit(f"{WORD_CHAR}*"))
+    found = lambda pattern: F.nullif(F.regexp_extract(key, pattern, 0), F.lit(""))
+    anchor = F.coalesce(
+        found(rf"(?<![\p{{L}}\p{{N}}_*]){WORD_RUN}(?![\p{{L}}\p{{N}}_*])"),
+        found(r"[^\p{L}\p{N}_*\s]"),
+        found(rf"(?<![\p{{L}}\p{{N}}_*]){WORD_RUN}\*"),
+        found(rf"\*{WORD_RUN}(?![\p{{L}}\p{{N}}_*])"),
+        F.raise_error(F.concat(F.lit("No word of this entry has a known beginning or end: "), key)).cast("string"),
     )
-    return entries.join(covered, ["cat_idx", "keyword"], "left_anti")
+    plain = key.rlike(rf"^{WORD_RUN}\*?$")
+    return used.groupBy("cat_idx", "keyword").agg(F.min(order).alias("entry")).select(
+        "cat_idx",
+        "keyword",
+        "entry",
+        plain.alias("plain"),
+        F.concat(left, F.lit("(?:"), body, F.lit(")"), right).alias("pattern"),
+        F.when(plain, key).otherwise(anchor).alias("anchor"),
+    )
+
+
+def _tokens_with_entries(tokens: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each distinct token with the entries that it matches or anchors."""
+    ends = entries.agg(
+        F.collect_set(F.when(F.col("anchor").endswith("*"), F.length("anchor") - 1)).alias("heads"),
+        F.collect_set(F.when(F.col("anchor").startswith("*"), F.length("anchor") - 1)).alias("tails"),
+    ).first()
+    word = F.col("token")
+    forms = [word]
+    forms += [F.when(F.length(word) >= n, F.concat(F.left(word, F.lit(n)), F.lit("*"))) for n in ends["heads"]]
+    forms += [F.when(F.length(word) >= n, F.concat(F.lit("*"), F.right(word, F.lit(n)))) for n in ends["tails"]]
+    every = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(F.array(*forms))).alias("anchor"))
+    return every.join(broadcast_if_small(entries), "anchor").drop("anchor")
 
 
 def lexicon_counts_join(
@@ -264,59 +308,81 @@ def lexicon_counts_join(
     keys: Sequence[str],
     stems: str = "match",
 ) -> DataFrame:
-    """Counts per key and category through a join with the lexicon table.
+    """Counts per row and category through a join with the lexicon table.
 
-    ``keys`` must identify a row; the result holds the keys and one column per
-    category. Only single words and stems are allowed here.
+    The result holds ``keys`` and one column per category, one row for each input
+    row, whether or not ``keys`` identify it. The lexicon may have any length and
+    any entries, phrases and punctuation included, and counts as in ``lexicon_counts``.
 
-    A word meets the lexicon as itself and as the stems it could match. The
-    lexicon is broadcast if its measured size allows it; else the adaptive skew
-    join splits a word that fills much of all texts. Sums start on the map side,
-    so about one row per text is shuffled.
+    Rows are reduced to (row, token, count) once. The distinct tokens of all texts
+    meet the lexicon, and a token then brings its categories back to the rows; the
+    adaptive skew join splits a token that fills much of all texts. Rows with a token that an
+    entry of several words or marks needs are counted by the alternation of just the
+    entries that may occur in them.
     """
-    entries = lexicon.where(F.col("keyword").isNotNull())
-    if stems == "ignore":
-        entries = entries.where(~F.col("keyword").contains("*"))
-    elif stems not in STEM_MODES:
-        raise ValueError(f"stems must be one of {STEM_MODES}")
-    entries = entries.select("cat_idx", "keyword").distinct()
-
-    odd = entries.where(~F.col("keyword").rlike(rf"^{WORD_RUN}\*?$")).first()
-    if odd is not None:
-        raise ValueError(f"Not a single word or stem: {odd.keyword!r}; use lexicon_counts")
-    lengths = [
-        r.n
-        for r in entries.where(F.col("keyword").endswith("*"))
-        .select((F.length("keyword") - 1).alias("n"))
-        .distinct()
-        .orderBy("n")
-        .collect()
-    ]
+    entries = _written(_entries(lexicon, stems), "entries")
     category_rows = lexicon.select("cat_idx", "cat_name").distinct().orderBy("cat_idx").collect()
+    has_odd = not entries.where(~F.col("plain")).isEmpty()
 
-    words = df.select(
-        *keys,
-        F.explode(
-            F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RUN), F.lit(0))
-        ).alias("__word"),
+    rows = df.select(
+        F.monotonically_increasing_id().alias("__row"), *keys, F.lower(F.col(text_col)).alias("__text")
     )
-    forms = F.array(
-        F.col("__word"),
+    if has_odd:
+        rows = _written(rows, "texts")
+    token = rf"{WORD_RUN}|[^\p{{L}}\p{{N}}_\s]" if has_odd else WORD_RUN
+    tokens = _written(
+        rows.select(
+            "__row", *keys,
+            F.col("__text").isNotNull().alias("__has_text"),
+            F.explode_outer(F.regexp_extract_all("__text", F.lit(token), F.lit(0))).alias("token"),
+        )
+        .groupBy("__row", *keys, "__has_text", "token")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "tokens",
+    )
+    known = _written(_tokens_with_entries(tokens.where("token IS NOT NULL"), entries), "known")
+    # a word hits a category once, by however many entries; written, so that the join can split a hot word
+    plain = _written(known.where("plain").groupBy("token").agg(F.collect_set("cat_idx").alias("cats")), "plain")
+    hits = tokens.select("__row", "token", "n").join(plain, "token").select(
+        "__row", F.explode("cats").alias("cat_idx"), "n", F.lit(False).alias("odd")
+    )
+    if has_odd:
+        hits = hits.unionByName(_odd_counts(rows, tokens, known))
+    per_cat = [
+        F.coalesce(
+            F.max(F.when(F.col("odd") & (F.col("cat_idx") == r.cat_idx), F.col("n"))),
+            F.sum(F.when(~F.col("odd") & (F.col("cat_idx") == r.cat_idx), F.col("n"))),
+        ).alias(r.cat_name)
+        for r in category_rows
+    ]
+    counted = hits.groupBy("__row").agg(*per_cat)
+    every = tokens.select("__row", *keys, "__has_text").distinct()
+    return every.join(counted, "__row", "left").select(
+        *keys,
         *[
-            F.when(F.length("__word") >= n, F.concat(F.left("__word", F.lit(n)), F.lit("*")))
-            for n in lengths
+            F.when(F.col("__has_text"), F.coalesce(F.col(f"`{r.cat_name}`"), F.lit(0))).alias(r.cat_name)
+            for r in category_rows
         ],
     )
-    hits = (
-        words.select(*keys, F.explode(forms).alias("keyword"))
-        .join(broadcast_if_small(_drop_covered(entries)), "keyword")
-        .select(*keys, F.lit(True).alias("__has_text"), "cat_idx")
+
+
+def _odd_counts(rows: DataFrame, tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """Counts of the (row, category) pairs in which an entry of several words or marks occurs."""
+    odd = known.where(~F.col("plain")).select("token", "cat_idx", "pattern")
+    text = F.col("__text")
+    patterns = F.array_join(F.array_sort(F.collect_set("pattern")), "|")
+    perhaps = tokens.select("__row", "token").join(odd, "token").groupBy("__row", "cat_idx").agg(patterns.alias("any"))
+    occurs = (
+        perhaps.join(rows.select("__row", "__text"), "__row").where(F.regexp_like(text, F.col("any"))).select("__row", "cat_idx", "__text")
     )
-    every_row = df.select(
-        *keys, F.col(text_col).isNotNull().alias("__has_text"), F.lit(None).alias("cat_idx")
+    entry = F.struct("entry", "keyword", "pattern").alias("e")
+    candidates = (
+        occurs.join(tokens.select("__row", "token"), "__row")
+        .join(known.select("token", "cat_idx", entry), ["token", "cat_idx"])
+        .groupBy("__row", "cat_idx")
+        .agg(F.any_value("__text").alias("__text"), F.array_sort(F.collect_set("e")).alias("entries"))
+    )
+    pattern = F.array_join(F.col("entries.pattern"), "|")
+    return candidates.select(
+        "__row", "cat_idx", F.regexp_count(text, pattern).cast("long").alias("n"), F.lit(True).alias("odd")
     )
-    sums = [
-        F.when(F.max("__has_text"), F.count_if(F.col("cat_idx") == r.cat_idx)).alias(r.cat_name)
-        for r in category_rows
-    ]
-    return every_row.unionByName(hits).groupBy(*keys).agg(*sums)

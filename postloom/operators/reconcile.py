@@ -36,10 +36,10 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 def reconcile_summary(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per side: keys, rows of either frame, and rows of a full outer join.
 
-    The last one is a product of row counts and may pass the range of a long
-    when a key is very frequent on both sides, so it is a double.
+    The last one adds up products of row counts and may pass the range of a long
+    when a key is very frequent on both sides, so it is a decimal.
     """
-    pairs = F.greatest("n_left", F.lit(1)).cast("double") * F.greatest("n_right", F.lit(1))
+    pairs = F.greatest("n_left", F.lit(1)).cast("decimal(19,0)") * F.greatest("n_right", F.lit(1)).cast("decimal(19,0)")
     return (
         reconcile(left, right, keys)
         .groupBy("side")
@@ -47,19 +47,24 @@ def reconcile_summary(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
             F.count(F.lit(1)).alias("n_keys"),
             F.sum("n_left").alias("n_left"),
             F.sum("n_right").alias("n_right"),
-            F.sum(pairs).alias("n_joined"),
+            F.sum(pairs).cast("decimal(38,0)").alias("n_joined"),
         )
     )
 
 
 def unmatched_rows(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Whole rows of either frame whose key is absent from the other one."""
+    """Whole rows of either frame whose key is absent from the other one.
 
-    def only_in(a: DataFrame, b: DataFrame, side: str) -> DataFrame:
-        other = b.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-        return a.join(other, same, "left_anti").withColumn("side", F.lit(side))
-
-    return only_in(left, right, "left_only").unionByName(
-        only_in(right, left, "right_only"), allowMissingColumns=True
+    Each frame is read for its rows and its keys; the keys of both are counted in one grouped
+    pass, which leaves the ones of a single side, and one semi join with those keeps
+    the rows. NULL keys match each other.
+    """
+    names = [f"__{k}" for k in keys]
+    single = (
+        reconcile(left, right, keys).where(F.col("side") != "both").select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    )
+    stacked = left.withColumn("side", F.lit("left_only")).unionByName(
+        right.withColumn("side", F.lit("right_only")), allowMissingColumns=True
     )
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return stacked.join(single, same, "left_semi")
