@@ -12,10 +12,17 @@ from postloom import operators as ops
 from postloom.functions import complexity, readability, repeatability, uri_author, word_count
 from postloom.plans import jobs
 from postloom.plans import testdata as data
-from postloom.plans.vocabulary import LEXICON, STEM_LEXICON, STOP_WORDS
-from postloom.schemas import COMPOSITES, LEXICON as LEXICON_SCHEMA, REPOST, TEXT_LABELS
+from postloom.plans.scratch import scratch_path
+from postloom.plans.vocabulary import LABEL_WEIGHTS, LEXICON, LONG_LEXICON, PHRASES, STEM_LEXICON
+from postloom.schemas import COMPOSITES, LABEL_PREFIX, LEXICON as LEXICON_SCHEMA, REPOST
 from postloom.sinks import write_by_date, write_csv
-from postloom.sources import read_actions_csv, read_firehose, read_posts
+from postloom.sources import (
+    read_actions_csv,
+    read_firehose,
+    read_lexicon,
+    read_posts,
+    read_user_list,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,9 +102,17 @@ def lexicon_counts_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_counts_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.lexicon_counts_join(
-        data.texts(spark, sf_dir), "text", _lexicon_table(spark, STEM_LEXICON), ["doc_id"]
+    """Stems, phrases with words of their own, and a category of very many words."""
+    short = _lexicon_table(spark, STEM_LEXICON | {"phrases": PHRASES})
+    long = spark.range(LONG_LEXICON).select(
+        F.lit(len(STEM_LEXICON) + 2).alias("cat_idx"),
+        F.lit("long").alias("cat_name"),
+        F.concat(F.when(F.col("id") % 2 == 0, "th").otherwise("on"), F.conv("id", 10, 36)).alias("keyword"),
+        F.lit(False).alias("is_stem"),
+        F.col("id").alias("entry"),
     )
+    table = short.unionByName(long.withColumn("keyword", F.lower("keyword")))
+    return ops.lexicon_counts_join(data.texts(spark, sf_dir), "text", table, ["doc_id"])
 
 
 def lexicon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +137,7 @@ def lexicon_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _statistic(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     column = {
-        "repeatability": repeatability("text", STOP_WORDS),
+        "repeatability": repeatability("text"),
         "complexity": complexity("text"),
         "readability": readability("text"),
     }[name]
@@ -131,7 +146,7 @@ def _statistic(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linguistic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["repeatability", "complexity", "readability"]
-    df = ops.linguistic_features(data.texts(spark, sf_dir), "text", STOP_WORDS).drop("text")
+    df = ops.linguistic_features(data.texts(spark, sf_dir), "text").drop("text")
     return _rounded(df, names)
 
 
@@ -162,7 +177,8 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.reconcile_summary(*_result_sets(spark, sf_dir))
+    summary = ops.reconcile_summary(*_result_sets(spark, sf_dir))
+    return summary.withColumn("n_joined", F.col("n_joined").cast("long"))
 
 
 def unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,17 +199,45 @@ def sample_rows_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six labels, trained on the two given ones, over all documents."""
+    """Six models, trained on six different columns of the labelled documents, over all documents."""
     texts = data.texts(spark, sf_dir)
-    labelled = texts.join(data.table(spark, sf_dir, "labels"), "doc_id")
-    columns = {label: ("quality", "toxic")[i % 2] for i, label in enumerate(TEXT_LABELS)}
-    models = ops.train_text_labels(labelled, "text", columns, vocab_size=4096, max_iter=5)
+    documents, labels = data.table(spark, sf_dir, "documents"), data.table(spark, sf_dir, "labels")
+    labelled = documents.join(labels, "doc_id").select(
+        "text",
+        F.col("quality").alias("anxiety"),
+        F.col("toxic").alias("stress"),
+        (F.col("lang") == "en").cast("int").alias("depression"),
+        (F.col("lang") == "fr").cast("int").alias("suicide"),
+        (F.col("n_chars") > 1500).cast("int").alias("psychosis"),
+        F.greatest(1 - F.col("quality"), "toxic").alias("loneliness"),
+    )
+    models = ops.train_text_labels(labelled, "text", {c: c for c in labelled.columns if c != "text"})
     return ops.score_text_labels(texts, "text", models).drop("text")
 
 
+def _weighted_models(spark: SparkSession) -> ops.TextLabelModels:
+    """Six models from fixed weights, saved and loaded again."""
+    path = scratch_path(spark, "models")
+    ops.save_text_models(spark, ops.text_labels_from_weights(spark, LABEL_WEIGHTS), path)
+    return ops.load_text_models(spark, path)
+
+
+def weighted_text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = data.texts(spark, sf_dir)
+    return ops.score_text_labels(texts, "text", _weighted_models(spark)).drop("text")
+
+
+def annotate_longest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of one text, the longest."""
+    text = data.texts(spark, sf_dir).agg(F.max_by("text", F.struct(F.length("text"), "doc_id"))).first()[0]
+    models = _weighted_models(spark)
+    rows = list(zip(models.labels, ops.annotate_text(spark, text, models)))
+    return spark.createDataFrame(rows, "label string, prediction double")
+
+
 def _event_files(spark: SparkSession, sf_dir: str) -> str:
     """The event records as gzipped line-delimited JSON, one folder per day."""
-    path = jobs.scratch_path(spark, "events")
+    path = scratch_path(spark, "events")
     data.firehose(spark, sf_dir).write.partitionBy("ingest_date").option(
         "compression", "gzip"
     ).json(path)
@@ -205,24 +249,142 @@ def user_posts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_langs(ops.user_posts(records, data.target_users(spark, sf_dir)))
 
 
+def _user_list_file(spark: SparkSession, users: DataFrame) -> str:
+    """One JSON object whose keys are the users."""
+    path = scratch_path(spark, "users")
+    pairs = F.map_from_entries(F.collect_list(F.struct("author", F.lit(1))))
+    users.coalesce(1).agg(F.to_json(pairs).alias("value")).write.text(path)
+    return path
+
+
+def user_posts_from_user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = read_user_list(spark, _user_list_file(spark, data.target_users(spark, sf_dir)))
+    return _flat_langs(ops.user_posts(data.firehose(spark, sf_dir), users))
+
+
+def user_posts_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job for all authors, then again for fewer: what the second run leaves."""
+    events, output = _event_files(spark, sf_dir), scratch_path(spark, "user-posts")
+    everyone = data.firehose(spark, sf_dir).select("author").distinct()
+    for users in (everyone, data.target_users(spark, sf_dir)):
+        jobs.user_posts_job(spark, events, _user_list_file(spark, users), output)
+    posts = spark.read.parquet(output).withColumn("ingest_date", F.col("ingest_date").cast("string"))
+    return _flat_langs(ops.order_by_time(posts, "createdAt", ["author", "post_id"]))
+
+
 def repost_edges_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    output = jobs.scratch_path(spark, "edges")
+    output = scratch_path(spark, "edges")
     jobs.repost_edges_job(spark, _event_files(spark, sf_dir), output)
     edges = spark.read.parquet(output)
     return _flat_langs(edges.withColumn("ingest_date", F.col("ingest_date").cast("string")))
 
 
+def _event_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The event records of the documents as lines, each followed by a part of itself, which is broken."""
+    path = f"{scratch_path(spark, 'lines')}/2024-01-01"
+    line = F.to_json(F.struct(*[c for c in data.firehose(spark, sf_dir).columns if c != "ingest_date"]))
+    data.firehose(spark, sf_dir).select(
+        F.explode(F.array(line, F.left(line, F.length(line) - 5))).alias("value")
+    ).write.text(path)
+    return path
+
+
+def firehose_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_firehose(spark, _event_lines(spark, sf_dir), on_bad="keep")
+    broken = F.when(F.col("_corrupt_record").isNotNull(), "broken").otherwise("good")
+    return records.groupBy("type", broken.alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def firehose_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_firehose(spark, _event_lines(spark, sf_dir), limit=100, require_records=True)
+    return records.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("author").isNull()).alias("n_bad"))
+
+
 def action_counts_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = jobs.scratch_path(spark, "actions")
-    write_csv(data.firehose(spark, sf_dir).select("createdAt", "author", "type"), path)
-    return ops.user_action_counts(read_actions_csv(spark, path))
+    """Texts are written too, line breaks included; the result is in the order of its keys."""
+    path = scratch_path(spark, "actions")
+    write_csv(data.firehose(spark, sf_dir).select("createdAt", "author", "text", "type"), path)
+    return ops.user_action_counts(read_actions_csv(spark, path)).orderBy("author")
 
 
-def unique_posts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = jobs.scratch_path(spark, "posts")
+def _post_files(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "posts")
     by_day = data.posts(spark, sf_dir).withColumn("ingest_date", F.left("createdAt", F.lit(10)))
     write_by_date(by_day, path, order_by=["createdAt", "post_id"])
-    return ops.unique_posts(read_posts(spark, path))
+    return path
+
+
+def unique_posts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.unique_posts(read_posts(spark, _post_files(spark, sf_dir)))
+
+
+def unique_posts_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job twice: the second run replaces the first."""
+    posts, output = _post_files(spark, sf_dir), scratch_path(spark, "unique")
+    jobs.unique_posts_job(spark, posts, output, dates=["2024-01-01"])
+    jobs.unique_posts_job(spark, posts, output)
+    return spark.read.parquet(output)
+
+
+def posts_of_one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day, by its folder, by a pattern and by the list of dates."""
+    path = _post_files(spark, sf_dir)
+    ways = {
+        "folder": read_posts(spark, f"{path}/ingest_date=2024-01-10", require_date=True),
+        "pattern": read_posts(spark, f"{path}/ingest_date=2024-01-1*", require_date=True),
+        "dates": read_posts(spark, path, dates=["2024-01-10"]),
+    }
+    columns = ["post_id", "langs", "ingest_date"]
+    out = None
+    for way, df in ways.items():
+        df = _flat_langs(df.select(*columns)).withColumn("way", F.lit(way))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _lexicon_files(spark: SparkSession) -> tuple[str, str]:
+    """The category map and the dictionary, tab-separated."""
+    index = {name: i for i, name in enumerate(LEXICON, start=1)}
+    words: dict[str, list[int]] = {}
+    for name, keywords in LEXICON.items():
+        for word in keywords:
+            words.setdefault(word, []).append(index[name])
+    lines = {
+        "map": [f"{i}\t{name}" for name, i in index.items()],
+        "dict": ["\t".join([word, *map(str, at)]) for word, at in words.items()],
+    }
+    paths = []
+    for kind, content in lines.items():
+        paths.append(scratch_path(spark, kind))
+        spark.createDataFrame([(x,) for x in content], "value string").coalesce(1).write.text(paths[-1])
+    return paths[0], paths[1]
+
+
+def lexicon_features_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = ops.collect_lexicon(read_lexicon(spark, *_lexicon_files(spark)))
+    return ops.lexicon_features(data.texts(spark, sf_dir), "text", lexicon)
+
+
+def composites_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Post files to category counts, and those to composites."""
+    counts, output = scratch_path(spark, "counts"), scratch_path(spark, "composites")
+    jobs.lexicon_job(spark, _post_files(spark, sf_dir), "text", *_lexicon_files(spark), counts)
+    jobs.composites_job(spark, counts, output)
+    return spark.read.parquet(output).select("post_id", *[F.col(f"`{name}`") for name in COMPOSITES])
+
+
+def linguistic_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    output = scratch_path(spark, "linguistic")
+    jobs.linguistic_job(spark, _post_files(spark, sf_dir), "text", output)
+    names = ["repeatability", "complexity", "readability"]
+    return _rounded(spark.read.parquet(output).select("post_id", *names), names)
+
+
+def classifier_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models, output = scratch_path(spark, "models"), scratch_path(spark, "labels")
+    ops.save_text_models(spark, ops.text_labels_from_weights(spark, LABEL_WEIGHTS), models)
+    jobs.classifier_job(spark, _post_files(spark, sf_dir), "text", models, output)
+    return spark.read.parquet(output).select("post_id", *[LABEL_PREFIX + label for label in LABEL_WEIGHTS])
 
 
 def queries() -> dict[str, Query]:
@@ -263,4 +425,16 @@ def queries() -> dict[str, Query]:
         "repost_edges_from_files": repost_edges_from_files,
         "action_counts_from_csv": action_counts_from_csv,
         "unique_posts_from_files": unique_posts_from_files,
+        "weighted_text_labels": weighted_text_labels,
+        "annotate_longest_text": annotate_longest_text,
+        "user_posts_from_user_list": user_posts_from_user_list,
+        "user_posts_rerun": user_posts_rerun,
+        "firehose_bad_lines": firehose_bad_lines,
+        "firehose_first_records": firehose_first_records,
+        "unique_posts_job": unique_posts_job,
+        "posts_of_one_day": posts_of_one_day,
+        "lexicon_features_from_files": lexicon_features_from_files,
+        "composites_job": composites_job,
+        "linguistic_job": linguistic_job,
+        "classifier_job": classifier_job,
     }

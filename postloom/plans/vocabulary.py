@@ -43,7 +43,18 @@ STEM_LEXICON = {
     "rare": ["zukunft*", "xyl*"],
 }
 
-STOP_WORDS = [
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of",
-    "on", "that", "the", "this", "to", "was", "with",
-]
+#: Entries of two words, as they may stand in any language's texts.
+PHRASES = ["of the", "to the", "in a", "de la", "que el", "in the"]
+
+#: Words of a lexicon category that no expression could hold.
+LONG_LEXICON = 300_000
+
+#: Weights per word or word pair of each label.
+LABEL_WEIGHTS = {
+    "anxiety": {"the": 2.0, "of": -3.0, "de": 1.0},
+    "stress": {"a": 1.0, "is": 2.0, "der": 3.0, "la": -2.0},
+    "depression": {"that": 5.0, "and": -1.0, "of the": 4.0},
+    "suicide": {"en": 1.0, "le": 1.0, "die": -1.0, "on": -2.0},
+    "psychosis": {"worthless": 1.0, "trash": 1.0, "stupid": 1.0},
+    "loneliness": {"it": 2.0, "in": -1.0, "und": 2.0, "que": 1.0},
+}

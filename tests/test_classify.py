@@ -7,18 +7,19 @@ from postloom.operators import (
     merge_text_models,
     save_text_models,
     score_text_labels,
+    text_labels_from_weights,
     train_text_label,
     train_text_labels,
 )
 from postloom.schemas import TEXT_LABELS
 
 ROWS = [
-    ("I am very stressed and sad", 1, 0),
-    ("so stressed, so very anxious", 1, 0),
-    ("feeling sad and stressed again", 1, 1),
-    ("I am feeling fine today", 0, 1),
-    ("a fine and sunny day today", 0, 0),
-    ("feeling happy and fine", 0, 1),
+    ("rain again and a grey road", 1, 0),
+    ("grey clouds, so much rain", 1, 0),
+    ("rain on the road at noon", 1, 1),
+    ("a warm day at the beach", 0, 1),
+    ("warm sand and a blue sea", 0, 0),
+    ("the beach is warm at noon", 0, 1),
 ] * 3
 
 
@@ -30,12 +31,12 @@ def training(spark):
 @pytest.fixture(scope="module")
 def models(training):
     columns = {label: ("down", "other")[i % 2] for i, label in enumerate(TEXT_LABELS)}
-    return train_text_labels(training, "text", columns, vocab_size=200, min_df=1.0, max_iter=5)
+    return train_text_labels(training, "text", columns, num_features=512, max_iter=5)
 
 
 def test_one_column_per_label(spark, models):
     df = spark.createDataFrame(
-        [(1, "I am feeling fine today."), (2, "I am very stressed."), (3, None), (4, "")],
+        [(1, "A warm beach."), (2, "Rain on a grey road."), (3, None), (4, "")],
         "id int, text string",
     )
     out = score_text_labels(df, "text", models)
@@ -59,9 +60,9 @@ def test_prediction_is_the_sign_of_the_linear_score(spark, models):
 
 
 def test_single_text_in_label_order(spark, models):
-    result = annotate_text(spark, "I feel sad and anxious.", models)
+    result = annotate_text(spark, "Rain and a warm sea.", models)
     assert isinstance(result, list) and len(result) == len(TEXT_LABELS)
-    frame = spark.createDataFrame([("I feel sad and anxious.",)], "text string")
+    frame = spark.createDataFrame([("Rain and a warm sea.",)], "text string")
     assert result == list(score_text_labels(frame, "text", models).drop("text").first())
 
 
@@ -72,7 +73,7 @@ def test_save_and_load(spark, models, tmp_path):
     loaded = load_text_models(spark, path)
     assert loaded.labels == TEXT_LABELS
     assert len({id(v) for v in loaded.vectorizers.values()}) == 1
-    text = "so stressed but fine"
+    text = "grey sea but warm sand"
     assert annotate_text(spark, text, loaded) == annotate_text(spark, text, models)
     assert load_text_models(spark, path, ["stress", "anxiety"]).labels == ["stress", "anxiety"]
     with pytest.raises(ValueError, match="anger"):
@@ -80,8 +81,8 @@ def test_save_and_load(spark, models, tmp_path):
 
 
 def test_labels_with_their_own_vectorizers(spark, training):
-    a = train_text_label(training, "text", "a", "down", vocab_size=50, min_df=1.0, max_iter=3)
-    b = train_text_label(training, "text", "b", "other", vocab_size=20, min_df=2.0, max_iter=3)
+    a = train_text_label(training, "text", "a", "down", num_features=64, max_iter=3)
+    b = train_text_label(training, "text", "b", "other", num_features=32, max_iter=3)
     both = merge_text_models(a, b)
     df = training.select("text").distinct()
     out = score_text_labels(df, "text", both, prefix="p_")
@@ -101,9 +102,9 @@ def test_terms_are_words_and_pairs(spark, models):
 
 def test_null_labels_are_left_out(spark, training):
     more = training.unionByName(
-        spark.createDataFrame([("fine fine fine", None, 1)], training.schema)
+        spark.createDataFrame([("warm warm warm", None, 1)], training.schema)
     )
-    assert train_text_label(more, "text", "a", "down", min_df=1.0, max_iter=2).labels == ["a"]
+    assert train_text_label(more, "text", "a", "down", max_iter=2).labels == ["a"]
 
 
 def test_shared_vectorizer_runs_once_and_nothing_is_shuffled(spark, models):
@@ -116,3 +117,19 @@ def test_shared_vectorizer_runs_once_and_nothing_is_shuffled(spark, models):
 def test_empty_frame(spark, models):
     out = score_text_labels(spark.createDataFrame([], "text string"), "text", models)
     assert out.count() == 0 and len(out.columns) == 7
+
+
+def test_given_weights(spark, tmp_path):
+    weights = {"up": {"warm": 2.0, "grey road": -3.0}, "down": {"grey": 1.0}}
+    save_text_models(spark, text_labels_from_weights(spark, weights), str(tmp_path / "m"))
+    loaded = load_text_models(spark, str(tmp_path / "m"), ["up", "down"])
+    df = spark.createDataFrame([("Warm grey road",), ("warm warm grey road",), ("sea",), (None,)], "t string")
+    got = [(r.DASS_up, r.DASS_down) for r in score_text_labels(df, "t", loaded).collect()]
+    assert got == [(0.0, 1.0), (1.0, 1.0), (0.0, 0.0), (None, None)]
+
+
+def test_nothing_stays_cached_after_a_failed_fit(spark, training):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with pytest.raises(Exception):
+        train_text_label(training.withColumn("down", training["down"] + 5), "text", "a", "down", max_iter=2)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

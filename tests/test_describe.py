@@ -3,8 +3,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.operators import describe_features
+from postloom.operators.describe import _ordered
 
 NAMES = {"count": "count", "mean": "mean", "std": "std", "min": "min", "25%": "p25",
          "50%": "p50", "75%": "p75", "max": "max"}
@@ -79,10 +81,32 @@ def test_other_quantiles_and_columns(spark):
         describe_features(df.select("s"))
 
 
-def test_input_is_read_once(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(5000).selectExpr("id % 7 AS a", "rand(1) AS b").write.parquet(path)
-    out = describe_features(spark.read.parquet(path))
-    assert len(out.collect()) == 2
-    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
-    assert plan.count("FileScan") == 1
+def test_input_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(5000).selectExpr("id % 7 AS a", "rand(1) AS b").mapInArrow(count, "a long, b double")
+    assert len(describe_features(df).collect()) == 2
+    assert read.value == 5000
+
+
+def test_no_task_gets_most_of_a_skewed_column(spark):
+    """Spread over very many powers of ten, or all but two values in one corner."""
+    rng = random.Random(9)
+    n = 20_000
+    pdf = pd.DataFrame(
+        {
+            "log-normal": [rng.lognormvariate(0, 10) for _ in range(n)],
+            "two outliers": [1e150, 1e300] + [rng.random() for _ in range(n - 2)],
+        }
+    )
+    _check(spark, pdf)
+    ordered = _ordered(
+        spark.createDataFrame(pdf).unpivot([], list(pdf.columns), "feature", "value").withColumn("n", F.lit(1)), 16
+    )
+    sizes = [r["count"] for r in ordered.groupBy("part").count().collect()]
+    assert sum(sizes) == 2 * n and max(sizes) < 2 * (2 * n / 16)

@@ -13,7 +13,6 @@ from postloom.operators import (
     lexicon_pattern,
     lexicon_vector,
 )
-from postloom.operators.lexicon import MAX_KEYWORDS
 from postloom.schemas import COMPOSITES, LEXICON as LEXICON_SCHEMA
 from postloom.sources import read_lexicon
 
@@ -28,7 +27,7 @@ CATEGORIES = {
     "order": ["kind of", "kind", "of", "i", "i'm"],
 }
 TEXTS = [
-    "I am happy today but was sad yesterday.",
+    "A happy dog met one sad cat by the lake.",
     "HAPPY happiness unhappy happi cry crying. Sad-sad sad_sad sad2",
     "kind of kind of of kind; kindof kind  of",
     "don't dont don t I'm i'm",
@@ -114,9 +113,35 @@ def test_join_equals_token_strategy(spark, stems):
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, direct.collect()))
 
 
-def test_join_refuses_phrases(spark):
-    with pytest.raises(ValueError, match="kind of"):
-        lexicon_counts_join(_frame(spark), "text", _table(spark, {"x": ["kind of"]}), ["id"])
+@pytest.mark.parametrize("stems", ["match", "ignore"])
+def test_join_counts_phrases_and_marks(spark, stems):
+    joined = lexicon_counts_join(_frame(spark), "text", _table(spark, CATEGORIES), ["id"], stems=stems)
+    for row in joined.collect():
+        for name, keywords in CATEGORIES.items():
+            if keywords:
+                assert row[name] == _brute_count(TEXTS[row.id], keywords, stems), (row.id, name)
+
+
+def test_join_names_an_entry_without_any_edge(spark):
+    with pytest.raises(Exception, match="No word of this entry"):
+        lexicon_counts_join(_frame(spark), "text", _table(spark, {"x": ["*a*"]}), ["id"]).collect()
+
+
+def test_join_keeps_rows_with_equal_keys_apart(spark):
+    df = spark.createDataFrame([(1, "sad"), (1, "sad sad"), (1, None), (2, "")], "id int, text string")
+    out = lexicon_counts_join(df, "text", _table(spark, {"x": ["sad"], "y": ["so sad"]}), ["id"])
+    assert sorted(((r.id, r.x) for r in out.collect()), key=str) == [(1, 1), (1, 2), (1, None), (2, 0)]
+
+
+def test_join_takes_a_very_long_lexicon(spark):
+    words = spark.range(300_000).selectExpr(
+        "1 AS cat_idx", "'x' AS cat_name", "concat('w', id) AS keyword", "false AS is_stem", "id AS entry"
+    )
+    phrase = spark.createDataFrame([(1, "x", "w1 w2", False, 300_000)], words.schema)
+    df = spark.createDataFrame([(1, "w1 w2 w299999 w300000"), (2, "w1  w2")], "id int, text string")
+    out = lexicon_counts_join(df, "text", words.unionByName(phrase), ["id"])
+    # the single word stands first in the lexicon, so it wins over the phrase
+    assert {r.id: r.x for r in out.collect()} == {1: 3, 2: 2}
 
 
 def test_join_accepts_a_lexicon_without_stems(spark):
@@ -145,7 +170,7 @@ def test_feature_table_layout(spark):
     assert out.columns == ["id", "wordCount", *CATEGORIES]
     assert out.count() == len(TEXTS)
     words = {r.id: r.wordCount for r in out.collect()}
-    assert words[0] == 9 and words[7] == 0 and words[8] == 6 and words[9] is None
+    assert words[0] == 11 and words[7] == 0 and words[8] == 6 and words[9] is None
 
 
 def test_empty_frame(spark):
@@ -193,9 +218,6 @@ def test_lexicon_from_files(spark, tmp_path):
         "affect": ["happy", "happi*", "kind of"], "words": ["kind of", "of"], "empty": [],
     }
     assert lexicon.indices == {"affect": 2, "words": 4, "empty": 7}
-    with pytest.raises(ValueError, match="more than"):
-        collect_lexicon(table, max_keywords=2)
-    assert MAX_KEYWORDS > 10_000
 
 
 def test_tokens_are_split_once_and_long_lists_are_hashed(spark):

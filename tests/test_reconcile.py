@@ -40,6 +40,12 @@ def test_unmatched_rows(spark):
     assert sum("right_only" in r for r in rows) == 2
 
 
+def test_products_are_exact_decimals(spark):
+    rows = spark.createDataFrame([("k",), ("k",)], "k string")
+    out = reconcile_summary(rows, rows, ["k"])
+    assert dict(out.dtypes)["n_joined"] == "decimal(38,0)" and out.first().n_joined == 4
+
+
 def test_one_shuffle(spark):
     plan = reconcile(*_frames(spark), KEYS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan

@@ -116,7 +116,7 @@ def test_hot_author_of_a_long_user_list_is_split(shuffled, monkeypatch):
 def test_hot_word_is_split(shuffled, monkeypatch):
     """A word that makes up most of all texts, with a lexicon too big to broadcast."""
     monkeypatch.setattr(lexicon, "broadcast_if_small", lambda df: df)
-    df = shuffled.range(0, 20_000, numPartitions=8).selectExpr(
+    df = shuffled.range(0, 100_000, numPartitions=8).selectExpr(
         "id", "concat('the the the the word', id % 300, ' theory') AS text"
     )
     table = shuffled.createDataFrame(
@@ -125,5 +125,5 @@ def test_hot_word_is_split(shuffled, monkeypatch):
     )
     out = lexicon_counts_join(df, "text", table, ["id"])
     rows = out.collect()
-    assert len(rows) == 20_000 and {(r.a, r.b) for r in rows} == {(5, 1)}
+    assert len(rows) == 100_000 and {(r.a, r.b) for r in rows} == {(5, 1)}
     assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
