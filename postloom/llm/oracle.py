@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from postloom.llm import privacy, secrets
+
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
 
@@ -89,10 +91,165 @@ FROM c LEFT JOIN x ON x.doc_id IS NOT DISTINCT FROM c.doc_id AND x.rk = c.rk
 """
 
 
+# Matches with their places: a mark around each, cut at the marks, lengths added up.
+_PIECES = "string_split(regexp_replace({text}, '{pattern}', chr(65535) || '\\0' || chr(65535), 'g'), chr(65535))"
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _placed(pieces: str) -> str:
+    return f"""list_transform(range(2, len({pieces}) + 1, 2), lambda i: {{
+      'a': CAST(coalesce(list_sum(list_transform({pieces}[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+      'b': CAST(list_sum(list_transform({pieces}[1:i], lambda x: length(x))) AS BIGINT),
+      'v': {pieces}[i], 'l': {pieces}[i - 1], 'r': {pieces}[i + 1]}})"""
+
+
+def _kind(spans: str, order: int, kind: str) -> str:
+    return f"list_transform({spans}, lambda s: {{'a': s.a, 'o': {order}, 'b': s.b, 'k': '{kind}'}})"
+
+
+def _joined(spans: str) -> str:
+    return f"array_to_string(list_transform({spans}, lambda s: s.k || ':' || s.a || ':' || s.b), ',')"
+
+
+def _of_kind(kind: str) -> str:
+    return f"len(list_filter(base, lambda s: s.k = '{kind}')) AS n_{kind}"
+
+
+_TEXTS = "SELECT doc_id, replace(coalesce(text, ''), chr(65535), chr(65534)) AS t FROM documents"
+
+
+def _secrets() -> str:
+    kinds = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX, "candidate": secrets.CANDIDATE}
+    cut = ", ".join(f"{_PIECES.format(text='t', pattern=_quoted(p))} AS p_{k}" for k, p in kinds.items())
+    placed = ", ".join(f"{_placed(f'p_{k}')} AS {k}" for k in kinds)
+    value = f"regexp_extract(s.v, '{_quoted(secrets.ASSIGN)}', 2)"
+    k = len(secrets.ALPHABET)
+    code = f"strpos('{secrets.ALPHABET}', substr({{0}}, {{1}}, 1))"
+    steps = f"{code.format('sample', 'i')} AS a, {code.format('sample', 'i + 1')} AS b"
+    return f"""
+WITH p AS MATERIALIZED (SELECT doc_id, {cut} FROM ({_TEXTS})),
+q AS MATERIALIZED (SELECT doc_id, {placed} FROM p),
+m AS (SELECT * REPLACE (list_filter(assign, lambda s: length({value}) >= {secrets.MIN_VALUE}) AS assign) FROM q),
+f AS MATERIALIZED (
+  SELECT *, list_sort(list_concat(list_concat({_kind("assign", 0, "assign")}, {_kind("access", 1, "access")}),
+                                  {_kind("hex", 2, "hex")})) AS base FROM m),
+c AS MATERIALIZED (
+  SELECT *, list_filter(candidate, lambda c: len(list_filter(base, lambda o: c.a < o.b AND c.b > o.a)) = 0) AS free FROM f),
+samples AS (
+  SELECT {value} AS sample, 1 AS secret FROM (SELECT unnest(assign) AS s FROM c)
+  UNION ALL SELECT s.v, 1 FROM (SELECT unnest(list_concat(access, hex)) AS s FROM c)
+  UNION ALL SELECT s.v, 0 FROM (SELECT unnest(free) AS s FROM c) WHERE regexp_matches(s.v, '{secrets.ORDINARY}')),
+steps AS (
+  SELECT secret, {steps} FROM (SELECT sample, secret, unnest(range(1, length(sample))) AS i FROM samples)),
+n AS (SELECT secret, a, b, count(*) AS n FROM steps WHERE a > 0 AND b > 0 GROUP BY ALL),
+both_labels AS (SELECT 0 AS secret UNION ALL SELECT 1),
+cells AS (SELECT secret, x.i AS a, y.i AS b FROM both_labels, range(1, {k + 1}) x(i), range(1, {k + 1}) y(i)),
+counted AS (SELECT cells.*, coalesce(n.n, 0) AS n FROM cells LEFT JOIN n USING (secret, a, b)),
+shares AS (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY secret, a) AS BIGINT) AS in_row,
+         CAST(sum(n) OVER (PARTITION BY secret, b) + 1 AS DOUBLE)
+           / CAST(sum(n) OVER (PARTITION BY secret) + {k} AS DOUBLE) AS share
+  FROM counted),
+ratios AS (
+  SELECT a, b, CAST(round({secrets.SCALE} * ln(max(p) FILTER (secret = 1) / max(p) FILTER (secret = 0))) AS BIGINT) AS r
+  FROM (SELECT secret, a, b, (n + {secrets.BACK_OFF} * share) / (in_row + {secrets.BACK_OFF}) AS p FROM shares)
+  WHERE (SELECT count(DISTINCT secret) FROM n) = 2 GROUP BY a, b),
+scored AS (
+  SELECT doc_id, s, sum(r) AS total
+  FROM (SELECT doc_id, s, {code.format("s.v", "i")} AS a, {code.format("s.v", "i + 1")} AS b
+        FROM (SELECT doc_id, s, unnest(range(1, length(s.v))) AS i FROM (SELECT doc_id, unnest(free) AS s FROM c)))
+  JOIN ratios USING (a, b) GROUP BY doc_id, s),
+random AS (
+  SELECT doc_id, list({{'a': s.a, 'o': 3, 'b': s.b, 'k': 'random'}}) AS added FROM scored
+  WHERE total >= {secrets.MIN_RATIO * secrets.SCALE} * (length(s.v) - 1) GROUP BY doc_id)
+SELECT doc_id, {", ".join(map(_of_kind, secrets.KINDS))}, coalesce(len(added), 0) AS n_random,
+       sha256({_joined("base")}) AS base_sha256,
+       {_joined("list_sort(list_concat(base, coalesce(added, [])))")} AS spans
+FROM c LEFT JOIN random USING (doc_id)
+"""
+
+
+# The base patterns as they are stated, for SQL's regular expressions.
+_PRIVATE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(s.v, '[^0-9]', '', 'g')"
+_VALID = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(s.v, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 256) > 255)) = 0",
+    "card": f"""length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+        CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST(substr({_DIGITS}, i, 1) AS INT)
+             ELSE CAST(substr({_DIGITS}, i, 1) AS INT) * 2 - 9 * CAST(CAST(substr({_DIGITS}, i, 1) AS INT) > 4 AS INT) END)) % 10 = 0""",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+}
+
+
+def _private() -> str:
+    cut = ", ".join(f"{_PIECES.format(text='t', pattern=p)} AS p_{k}" for k, p in _PRIVATE.items())
+    placed = ", ".join(f"list_filter({_placed(f'p_{k}')}, lambda s: {_VALID[k]}) AS {k}" for k in _PRIVATE)
+    mentions = " UNION ALL ".join(
+        f"SELECT doc_id, base, '{k}:' || lower(s.v) AS entity, right(s.l, {privacy.CONTEXT}) AS l, "
+        f"left(s.r, {privacy.CONTEXT}) AS r, s.a, s.b FROM (SELECT doc_id, base, unnest({k}) AS s FROM f)"
+        for k in _PRIVATE
+    )
+    base = "[]"
+    for i, k in enumerate(_PRIVATE):
+        base = f"list_concat({base}, {_kind(k, i, k)})" if i else _kind(k, i, k)
+    words = {side: _placed(f"p_{side}") for side in "lr"}
+    return f"""
+WITH p AS MATERIALIZED (SELECT doc_id, {cut} FROM ({_TEXTS})),
+q AS MATERIALIZED (SELECT doc_id, {placed} FROM p),
+f AS MATERIALIZED (SELECT *, list_sort({base}) AS base FROM q),
+mentions AS ({mentions}),
+pieces AS MATERIALIZED (
+  SELECT *, {_PIECES.format(text="l", pattern=privacy.TERM)} AS p_l, {_PIECES.format(text="r", pattern=privacy.TERM)} AS p_r
+  FROM mentions),
+sides AS (
+  SELECT doc_id, base, entity, l, r, a - length(l) AS moved, unnest({words["l"]}) AS w FROM pieces
+  UNION ALL SELECT doc_id, base, entity, l, r, b, unnest({words["r"]}) FROM pieces),
+contexts AS MATERIALIZED (
+  SELECT * FROM (SELECT doc_id, base, entity, l, r, moved + w.a AS a, moved + w.b AS b, lower(w.v) AS term FROM sides) x
+  WHERE len(list_filter(base, lambda o: x.a < o.b AND x.b > o.a)) = 0),
+docs_with AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM contexts GROUP BY entity),
+words AS (
+  SELECT term, count(*) AS n_term
+  FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM ({_TEXTS}))
+  GROUP BY term),
+pairs AS (
+  SELECT entity, term, count(*) AS n_contexts, sum(n) AS n_both
+  FROM (SELECT entity, term, l, r, count(DISTINCT doc_id) AS n FROM contexts GROUP BY ALL) GROUP BY entity, term
+  HAVING count(*) >= {privacy.SUPPORT}),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+shares AS (
+  SELECT entity, term, CASE WHEN ln(n / n_entity) > 0
+    THEN ln(CAST(least(n_both, n_entity, n_term) AS DOUBLE) * n / (CAST(n_entity AS DOUBLE) * CAST(n_term AS DOUBLE))) / ln(n / n_entity)
+    ELSE 0 END AS share
+  FROM pairs JOIN docs_with USING (entity) JOIN words USING (term), total),
+spots AS (
+  SELECT doc_id, a, b, max(share) AS share FROM contexts JOIN shares USING (entity, term)
+  WHERE share >= {privacy.GENERALISE} GROUP BY doc_id, a, b),
+extra AS (
+  SELECT doc_id, list({{'a': a, 'o': 4, 'b': b, 'k': CASE WHEN share >= {privacy.REMOVE} THEN 'remove' ELSE 'generalise' END}}) AS added
+  FROM spots GROUP BY doc_id)
+SELECT doc_id, {", ".join(map(_of_kind, _PRIVATE))}, coalesce(len(added), 0) AS n_terms,
+       sha256({_joined("base")}) AS base_sha256,
+       {_joined("list_sort(list_concat(base, coalesce(added, [])))")} AS spans
+FROM f LEFT JOIN extra USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": CONTAINED,
         "op3_jaccard_join": SIMILAR,
+        "op4_secret_scan": _secrets(),
         "op5_mix_sources": MIX,
         "op7_exact_dedup": EXACT,
+        "op10_personal_data": _private(),
     }

@@ -4,10 +4,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from postloom.llm import oracle, queries
 from tests.llm.brute import shingle_set
 from tests.llm.test_mixing import brute as mixed
-from tests.oracle_check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -69,18 +67,3 @@ def test_tokens_stage(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(map(tuple, stages[5].collect()))
-
-
-@pytest.fixture(scope="module")
-def con():
-    return connect(SF_DIR)
-
-
-@pytest.mark.parametrize("name", sorted(queries.queries()))
-def test_queries(spark, con, name):
-    if name in oracle.oracle_sql():
-        assert compare(spark, con, SF_DIR, queries.queries()[name], oracle.oracle_sql()[name]) == ""
-    else:
-        assert queries.queries()[name](spark, SF_DIR).count() >= 0
-
-
