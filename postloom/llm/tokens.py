@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -22,56 +25,117 @@ CACHED_PIECES = 400_000
 
 _SCHEMA = "doc_id {id}, part int, part_start bigint, n_tokens bigint, ids array<int>"
 _cut = re.compile(r"(?<=\S) (?=\S)")
+# Runs that byte-level rules keep apart: Latin letters, digits, ASCII marks but
+# for the apostrophe (which may begin a contraction), and one line break.
+_letters, _digits, _marks = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[0-9]+", r"[!-&(-/:-@\[-`{-~]+"
+_run = re.compile(rf"{_letters}|{_digits}|{_marks}|\n")
 _encoders: dict[int, tuple] = {}
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _Encoder:
-    """Encodes texts piece by piece with a tokenizer from the tokenizers library.
+    """Encodes texts with a tokenizer from the tokenizers library, each distinct piece once.
 
-    The tokenizer's byte-level rules always cut before a single space between
-    two other characters, so that the pieces between such spaces can be encoded
-    alone, and each distinct piece once.
+    A byte-level tokenizer always cuts before a single space between two other
+    characters, so the pieces between such spaces can be encoded alone; a piece of plain
+    runs is put together from the model's ids of its runs. Any other tokenizer
+    gets whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, bytes | None] = {}
+        setting = json.loads(tokenizer_json)
+        rules = setting.get("pre_tokenizer") or {}
+        self.by_piece = (
+            setting["model"].get("type", "BPE") == "BPE"
+            and not setting.get("normalizer")
+            and rules.get("type") == "ByteLevel"
+            and rules.get("use_regex", True)
+            and not rules.get("add_prefix_space")
+            and not setting["model"].get("continuing_subword_prefix")
+            and not setting["model"].get("end_of_word_suffix")
+        )
+        special = [re.escape(x["content"]) for x in setting.get("added_tokens", [])]
+        self.special = re.compile("|".join(special) or r"(?!)")
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (10, *range(32, 0x250))}
+        self.space, self.line = self.as_bytes[32], self.as_bytes[10]
+        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"\n": self._model_ids(self.line)} if self.by_piece else {}
+
+    def _model_ids(self, mapped: str) -> bytes:
+        return _as_bytes([t.id for t in self.tokenizer.model.tokenize(mapped)])
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one run, which may begin with a space."""
+        ids = self.runs.get(run)
+        if ids is None:
+            if not run.isascii():
+                mapped = run.translate(self.as_bytes)
+            elif run[0] == " ":
+                mapped = self.space + run[1:]
+            else:
+                mapped = run
+            ids = self.runs[run] = self._model_ids(mapped)
+        return ids
+
+    def _plain(self, piece: str, lead: str) -> bytes | None:
+        """Ids of a piece of plain runs after ``lead``; None for any other."""
+        if piece.isascii() and piece.isalpha():
+            return self._run(lead + piece)
+        runs = _run.findall(piece)
+        if "".join(runs) != piece or "\n\n" in piece or piece[0] == "\n" or piece[-1] == "\n" or self.special.search(piece):
+            return None
+        runs[0] = lead + runs[0]
+        return b"".join(map(self._run, runs))
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > CACHED_PIECES:
-            self.known.clear()
-        whole = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        self.known.update(dict.fromkeys(pieces))
-        for piece, ids in zip(whole, self._ids([" " + p for p in whole])):
-            self.known[piece] = ids
+        """Ids of pieces after a space; none of them begins or ends with white space."""
+        rare = []
+        for piece in pieces:
+            ids = self._plain(piece, " ")
+            if ids is None:
+                rare.append(piece)
+            else:
+                self.known[piece] = ids
+        if rare:
+            self.known.update(zip(rare, self._ids([" " + p for p in rare])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [_as_bytes(e.ids) for e in encoded]
+
+    def _one(self, text: str) -> bytes:
+        if not text:
+            return b""
+        head, *parts = text.split(" ")
+        tail = list(map(self.known.get, parts))
+        if None in tail or not head or head[-1].isspace():
+            missing = {p for p, ids in zip(parts, tail) if ids is None}
+            if not head or head[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
+                # spaces beside other white space don't cut
+                head, *parts = _cut.split(text)
+                missing = set(parts).difference(self.known)
+            if len(self.known) + len(missing) > CACHED_PIECES:
+                self.known.clear()
+                self.runs = {"\n": self.runs["\n"]}
+                missing = set(parts)
+            self._learn(missing)
+            tail = list(map(self.known.__getitem__, parts))
+        first = self._plain(head, "") if head[0] != " " else None
+        return b"".join([self._ids([head])[0] if first is None else first, *tail])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        out = []
-        for first in range(0, len(texts), 64):
-            split = [t.split(" ") for t in texts[first : first + 64]]
-            heads = [s[0] for s in split]
-            pieces = {p for s in split for p in s[1:]}
-            # a very long text without spaces is not worth keeping
-            new = {p for p in pieces if p not in self.known}
-            if new:
-                if len(self.known) + len(new) > CACHED_PIECES:
-                    new = pieces
-                self._learn(new)
-            for text, parts, head in zip(texts[first : first + 64], split, self._ids(heads)):
-                tail = [self.known[p] for p in parts[1:]]
-                if None in tail or (tail and (not parts[0] or parts[0][-1].isspace())):
-                    cut = _cut.split(text)
-                    out.append(b"".join(self._ids([cut[0], *(" " + c for c in cut[1:])])))
-                else:
-                    out.append(head + b"".join(tail))
-        return out
+        return [self._one(t) for t in texts] if self.by_piece else self._ids(texts)
 
 
 def _encoder(tokenizer_json: str) -> _Encoder:
@@ -165,7 +229,8 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> Data
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("part_first"))
-    return rows.join(parts, "part").select(
+    # one row per written part
+    return rows.join(F.broadcast(parts), "part").select(
         "doc_id", (F.col("part_first") + F.col("part_start")).alias("start"), "n_tokens", "ids"
     )
 
