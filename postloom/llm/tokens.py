@@ -7,7 +7,7 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -63,8 +63,10 @@ class _Encoder:
             and not setting["model"].get("continuing_subword_prefix")
             and not setting["model"].get("end_of_word_suffix")
         )
-        special = [re.escape(x["content"]) for x in setting.get("added_tokens", [])]
-        self.special = re.compile("|".join(special) or r"(?!)")
+        special = [x["content"] for x in setting.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        # an added token of letters only, or with a space, may stand where pieces are cut or taken as plain
+        self.by_piece &= all(re.search(r"[^\w\s]", x) and not re.search(r"\s", x) for x in special)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (10, *range(32, 0x250))}
         self.space, self.line = self.as_bytes[32], self.as_bytes[10]
@@ -75,33 +77,35 @@ class _Encoder:
         return _as_bytes([t.id for t in self.tokenizer.model.tokenize(mapped)])
 
     def _run(self, run: str) -> bytes:
-        """Ids of one run, which may begin with a space."""
+        """Ids of one run."""
         ids = self.runs.get(run)
         if ids is None:
-            if not run.isascii():
-                mapped = run.translate(self.as_bytes)
-            elif run[0] == " ":
-                mapped = self.space + run[1:]
-            else:
-                mapped = run
-            ids = self.runs[run] = self._model_ids(mapped)
+            ids = self.runs[run] = self._model_ids(run if run.isascii() else run.translate(self.as_bytes))
+        return ids
+
+    def _after_space(self, run: str) -> bytes:
+        """Ids of one run after a space, which are those of the piece that is just this run."""
+        ids = self.known.get(run)
+        if ids is None:
+            ids = self.known[run] = self._model_ids(
+                self.space + (run if run.isascii() else run.translate(self.as_bytes))
+            )
         return ids
 
-    def _plain(self, piece: str, lead: str) -> bytes | None:
-        """Ids of a piece of plain runs after ``lead``; None for any other."""
+    def _plain(self, piece: str, first: Callable[[str], bytes]) -> bytes | None:
+        """Ids of a piece of plain runs, the first of them by ``first``; None for any other piece."""
         if piece.isascii() and piece.isalpha():
-            return self._run(lead + piece)
+            return first(piece)
         runs = _run.findall(piece)
         if "".join(runs) != piece or "\n\n" in piece or piece[0] == "\n" or piece[-1] == "\n" or self.special.search(piece):
             return None
-        runs[0] = lead + runs[0]
-        return b"".join(map(self._run, runs))
+        return b"".join([first(runs[0]), *map(self._run, runs[1:])])
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces after a space; none of them begins or ends with white space."""
         rare = []
         for piece in pieces:
-            ids = self._plain(piece, " ")
+            ids = self._plain(piece, self._after_space)
             if ids is None:
                 rare.append(piece)
             else:
@@ -130,7 +134,7 @@ class _Encoder:
                 missing = set(parts)
             self._learn(missing)
             tail = list(map(self.known.__getitem__, parts))
-        first = self._plain(head, "") if head[0] != " " else None
+        first = self._plain(head, self._run) if head[0] != " " else None
         return b"".join([self._ids([head])[0] if first is None else first, *tail])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -166,7 +170,7 @@ def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID)
                 encoded = [e + end for e in encoder.encode([t or "" for t in rows.column(1).to_pylist()])]
                 n = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
                 ends = np.cumsum(n)
-                ids = pa.array(np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32))
+                ids = pa.array(np.frombuffer(b"".join(encoded), dtype="<i4"))
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -241,9 +245,9 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            offsets = ids.offsets.to_numpy()
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+            values = ids.values.to_numpy().astype("<i4", copy=False)
+            offsets = ids.offsets.to_numpy().tolist()
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
             others = [(batch.column(i), n) for i, n in enumerate(batch.schema.names) if n != "ids"]
             yield pa.RecordBatch.from_arrays(
                 [*(c for c, _ in others), pa.array(crc, type=pa.int64())], names=[*(n for _, n in others), "ids_crc32"]
