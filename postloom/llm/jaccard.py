@@ -40,6 +40,17 @@ def runs_needed(similarity: float, depth: int, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
 
 
+def meetings_needed(similarity: float, runs: int, loss: float) -> int:
+    """The most first tokens that two similar sets share but for a probability of ``loss``."""
+    fewer, m = 0.0, 0
+    while m < runs:
+        fewer += math.comb(runs, m) * similarity**m * (1 - similarity) ** (runs - m)
+        if fewer > loss:
+            break
+        m += 1
+    return max(1, m)
+
+
 def _seeds(runs: int, depth: int) -> np.ndarray:
     return mix64(np.arange(1, runs * depth + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -261,7 +272,8 @@ def similar_documents(
     to the bucket of the token of its own that is smallest under the run's hash; a bucket of more
     than ``bucket`` sets is split again by the next such token, up to ``depth``.
     Two sets share a token with the probability of their similarity; the number of
-    runs follows from that and ``recall``. Small buckets are compared pair by
+    runs follows from that and ``recall``, and so does the number of runs in which a
+    set must meet others at all to be looked at further. Small buckets are compared pair by
     pair on the whole sets; a bucket that is still larger after ``depth`` tokens is cut into
     blocks, and every pair of blocks is compared in a task of its own, so nothing
     is left out. Tasks return sums and star edges, never pairs.
@@ -297,6 +309,10 @@ def similar_documents(
         "copy_key", "run", F.xxhash64("run", "token").alias("path")
     )
     level = stage(_meeting(paths, total * runs), "level")
+    # similar sets meet in most runs, sets that just share a line in few
+    needed = meetings_needed(similarity, runs, (1 - recall) / 5)
+    often = level.groupBy("copy_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= needed)
+    level = stage(_meeting(level.drop("on_path").join(often.select("copy_key"), "copy_key", "left_semi"), total * runs), "level")
 
     # whole sets of the texts that met another one; the others never travel
     met = stage(level.select("copy_key").distinct().join(reps, "copy_key").select("copy_key", "copy_id", "copies"), "met")

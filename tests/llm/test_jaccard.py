@@ -4,7 +4,14 @@ import random
 
 import pytest
 
-from postloom.llm.jaccard import _components, components, keep_one_per_group, runs_needed, similar_documents
+from postloom.llm.jaccard import (
+    _components,
+    components,
+    keep_one_per_group,
+    meetings_needed,
+    runs_needed,
+    similar_documents,
+)
 from tests.llm.brute import shingle_set
 
 RNG = random.Random(11)
@@ -105,6 +112,13 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8**3) ** (runs_needed(0.8, 3, 0.9999) - 1) < 0.9999
 
 
+def test_needed_meetings_lose_little():
+    rng = random.Random(1)
+    m = meetings_needed(0.8, 13, 2e-5)
+    assert m == 4
+    assert sum(sum(rng.random() < 0.8 for _ in range(13)) < m for _ in range(100_000)) <= 10
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar_documents(docs).collect() == []
