@@ -140,7 +140,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         table = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
         table[0] = 1
         table = np.cumprod(table, dtype=np.uint64)
-        if len(table) <= 8 * CHUNK_BYTES:
+        if len(table) <= 2 * CHUNK_BYTES:
             _powers[base] = table
     return table[:n]
 

@@ -20,8 +20,8 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
-#: Encoded pieces that a worker keeps, about 100 MB.
-CACHED_PIECES = 400_000
+#: Encoded pieces that a worker keeps, about 40 MB.
+CACHED_PIECES = 150_000
 
 _SCHEMA = "doc_id {id}, part int, part_start bigint, n_tokens bigint, ids array<int>"
 _cut = re.compile(r"(?<=\S) (?=\S)")
@@ -128,7 +128,7 @@ class _Encoder:
                 # spaces beside other white space don't cut
                 head, *parts = _cut.split(text)
                 missing = set(parts).difference(self.known)
-            if len(self.known) + len(missing) > CACHED_PIECES:
+            if len(self.known) + len(self.runs) + len(missing) > CACHED_PIECES:
                 self.known.clear()
                 self.runs = {"\n": self.runs["\n"]}
                 missing = set(parts)
@@ -183,6 +183,7 @@ def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID)
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
                 before += int(n.sum())
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, _SCHEMA.format(id=kind))
