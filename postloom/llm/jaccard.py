@@ -18,6 +18,7 @@ from postloom.llm.common import (
     filter_positions,
     hashed_words,
     mix64,
+    release_memory,
     shingles,
     stage,
     text_chunks,
@@ -100,8 +101,7 @@ def _signatures(rows: DataFrame, seeds: np.ndarray, with_tokens: bool) -> DataFr
                 if with_tokens:
                     columns["tokens"] = pa.array(tokens, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
-        # the worker may go on with another stage
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, copy_key binary, n_tokens bigint, chosen array<bigint>"
@@ -215,7 +215,7 @@ def _bucket_links(members: DataFrame, similarity: float) -> DataFrame:
                         "linked_texts": pa.array(found["linked_texts"], pa.int64()),
                     }
                 )
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     # keys in order, so that every root is the smallest of its component
     dealt = members.repartition("path", "left", "right").sortWithinPartitions("path", "left", "right", "copy_key")

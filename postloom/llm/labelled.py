@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.common import release_memory
+
 #: Labelled rows of each class that a model is fitted on, at most (in expectation).
 PER_CLASS = 4000
 #: Every so many rows of the sample calibrate the scores instead.
@@ -80,6 +82,8 @@ def fit_in_task(
                 ),
             )
             yield pa.RecordBatch.from_pydict({"model": pa.array([out.getvalue()], pa.binary())})
+            del batches, table, out
+        release_memory()
 
     row = sample.repartition(1).mapInArrow(run, "model binary").first()
     if row is None:

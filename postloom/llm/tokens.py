@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postloom.llm.common import release_memory
+
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -183,7 +185,7 @@ def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID)
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
                 before += int(n.sum())
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, _SCHEMA.format(id=kind))

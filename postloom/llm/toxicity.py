@@ -225,13 +225,14 @@ def _thresholds(
     found: np.ndarray, labels: np.ndarray, weight: np.ndarray, langs: list
 ) -> tuple[np.ndarray, np.ndarray]:
     """One threshold for each language with enough rows of both classes; the first, of name '', is for all others."""
-    names, values = [""], [best_threshold(found, labels, weight)]
+    # with few labels the best F1 may flag everything: never below the plain threshold
+    names, values = [""], [max(THRESHOLD, best_threshold(found, labels, weight))]
     langs = np.array([x or "" for x in langs])
     for lang in sorted(set(langs) - {""}):
         own = langs == lang
         if min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= LANGUAGE_ROWS:
             names.append(str(lang))
-            values.append(best_threshold(found[own], labels[own], weight[own]))
+            values.append(max(THRESHOLD, best_threshold(found[own], labels[own], weight[own])))
     return np.array(names), np.array(values)
 
 
