@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postloom.llm.common import documents, fresh_path
 from postloom.llm.contamination import contained_items
 from postloom.llm.exact import exact_duplicates
 from postloom.llm.jaccard import similar_documents
 from postloom.llm.mixing import mix_sources
+from postloom.llm.negatives import hard_negatives, shifted_labels
 from postloom.llm.passages import repeated_passages
 from postloom.llm.privacy import find_private
 from postloom.llm.quality import score_quality
@@ -65,6 +67,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(documents(spark, sf_dir)).drop("found")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = shifted_labels(documents(spark, sf_dir, "embeddings"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         name: query
