@@ -267,6 +267,23 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+LINES = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (
+  SELECT r, i, l[i] AS line,
+         translate(regexp_replace(l[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+f AS (SELECT k FROM x WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10),
+o AS (
+  SELECT r, count(f.k) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL) AS kept
+  FROM x LEFT JOIN f USING (k) GROUP BY r)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d JOIN o USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": CONTAINED,
@@ -276,4 +293,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": EXACT,
         "op10_personal_data": _private(),
         "op11_hard_negatives": NEGATIVES,
+        "op13_line_dedup": LINES,
     }

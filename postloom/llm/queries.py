@@ -12,6 +12,7 @@ from postloom.llm.common import documents, fresh_path
 from postloom.llm.contamination import contained_items
 from postloom.llm.exact import exact_duplicates
 from postloom.llm.jaccard import similar_documents
+from postloom.llm.lines import without_frequent_lines
 from postloom.llm.mixing import mix_sources
 from postloom.llm.negatives import hard_negatives, shifted_labels
 from postloom.llm.passages import repeated_passages
@@ -72,6 +73,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")
+    return without_frequent_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", kept)
+
+
 def queries() -> dict[str, Query]:
     return {
         name: query
