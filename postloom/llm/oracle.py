@@ -284,6 +284,80 @@ FROM d JOIN o USING (r)
 """
 
 
+def _least(*options: str) -> str:
+    return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+
+
+def _edit(state: str, edit: str, cost: str, when: str = "true", line: str | None = None) -> str:
+    """The state after an edit, or NULL; a state is its cost, the edits and the repaired lines."""
+    lines = f"list_append({state}.r, {line})" if line else f"{state}.r"
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {lines}}} END"
+
+
+def _inserts(frame: str) -> str:
+    """The four states with the inserts that may follow, in two steps."""
+    user = ", ".join(_edit(f"s{k}", "I", "3", line="'user:'") for k in (0, 1, 3))
+    return f"""
+  SELECT * REPLACE ({_least("s3", _edit("s2", "I", "3", line="'assistant:'"))} AS s3)
+  FROM (SELECT * REPLACE ({_least("s2", user)} AS s2) FROM ({frame}))"""
+
+
+def _repairs() -> str:
+    start, none = "{'c': 0::BIGINT, 'a': '', 'r': CAST([] AS VARCHAR[])}", "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]))"
+    stays, extra = "fault < 2", "3 * (fault = 1)::INT"
+
+    def kept(k: int, initial: str) -> str:
+        return _edit(f"s{k}", "K", extra, f"{stays} AND initial = '{initial}'", "role || ':' || text")
+
+    def rerole(k: int, role: str) -> str:
+        return _edit(f"s{k}", "R", f"3 + {extra}", stays, f"'{role}:' || text")
+
+    after = [
+        _least(_edit("s0", "D", "4")),
+        _least(_edit("s1", "D", "4"), kept(0, "s")),
+        _least(_edit("s2", "D", "4"), *(f(k, x) for k in (0, 1, 3) for f, x in ((kept, "u"), (rerole, "user")))),
+        _least(_edit("s3", "D", "4"), kept(2, "a"), rerole(2, "assistant")),
+    ]
+    following = f"SELECT p.conv, p.i + 1 AS i, {', '.join(f'{x} AS s{k}' for k, x in enumerate(after))} FROM p JOIN f ON f.conv = p.conv AND f.i = p.i + 1"
+    first = f"SELECT DISTINCT conv, 0::BIGINT AS i, {start} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM f"
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS steps),
+o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), 'none') AS conv,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (
+  SELECT o.*, xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS damage FROM o, t),
+d AS (
+  SELECT conv, conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT h.*, unnest(CASE damage WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM h)),
+n AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 3
+                 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 1 ELSE 0 END AS fault,
+         lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair
+  FROM n),
+p AS ({_inserts(first)} UNION ALL {_inserts(following)}),
+e AS (
+  SELECT conv, {_least("s0", "s3")} AS s FROM p
+  WHERE (conv, i) IN (SELECT conv, max(i) FROM f GROUP BY conv)),
+c AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s.c, 0) AS cost,
+       coalesce(s.a, '') AS audit, sha256(coalesce(array_to_string(s.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM o) LEFT JOIN c USING (conv) LEFT JOIN e USING (conv)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": CONTAINED,
@@ -293,5 +367,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": EXACT,
         "op10_personal_data": _private(),
         "op11_hard_negatives": NEGATIVES,
+        "op12_conversation_repair": _repairs(),
         "op13_line_dedup": LINES,
     }

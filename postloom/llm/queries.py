@@ -21,6 +21,7 @@ from postloom.llm.quality import score_quality
 from postloom.llm.secrets import find_secrets
 from postloom.llm.tokens import read_tokens, with_crc32, write_tokens
 from postloom.llm.toxicity import score_toxicity
+from postloom.llm.turns import audited, damaged
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -73,6 +74,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = documents(spark, sf_dir, "conversations")
+    return audited(damaged(conversations), conversations)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")
     return without_frequent_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", kept)
