@@ -1,6 +1,7 @@
 """Readers for event files, post tables, user lists and lexicons."""
 
 from postloom.sources.actions import read_actions_csv
+from postloom.sources.catalogue import catalogue, list_files
 from postloom.sources.checks import require_columns
 from postloom.sources.dates import date_of_path, dates_of_files, with_ingest_date
 from postloom.sources.firehose import read_firehose
@@ -9,9 +10,11 @@ from postloom.sources.posts import file_report, read_posts
 from postloom.sources.users import read_user_list
 
 __all__ = [
+    "catalogue",
     "date_of_path",
     "dates_of_files",
     "file_report",
+    "list_files",
     "read_actions_csv",
     "read_firehose",
     "read_lexicon",

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postloom.schemas import POSTS
+from postloom.sources.catalogue import catalogue
 from postloom.sources.dates import FILE, with_ingest_date
 
 log = logging.getLogger(__name__)
 
-#: A file without readable rows that is longer than this is no empty table.
-EMPTY_BYTES = 16 << 20
-
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
@@ -29,19 +27,23 @@ def read_posts(
     schema: T.StructType = POSTS,
     require_date: bool = False,
     default_date: str | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Scan post files; adds ``ingest_date`` from the path, whatever the layout.
 
     Files whose footer cannot be read are skipped whole, with a warning that
     names them and gives the numbers of valid and all files. Damage further
     inside a file fails the query, so a file is never read in part. ``dates`` keeps other
-    days' files from being opened.
+    days' files from being opened, their footers too. With ``store``, a folder
+    that keeps the catalogue of files, a footer is opened only once.
     """
-    report = file_report(spark, paths)
-    skipped = [r.path for r in report.where(~F.col("valid")).select("path").collect()]
+    days = None if dates is None else [*dates, *([None] if default_date in dates else [])]
+    entries = catalogue(spark, paths, store, days)
+    totals = entries.agg(F.count(F.lit(1)), F.count_if(~F.col("valid"))).first()
+    # the damaged files, by name: a join would come after they are opened
+    skipped = [r.path for r in entries.where(~F.col("valid")).select("path").collect()] if totals[1] else []
     if skipped:
-        total = report.count()
-        log.warning("Skipped %d of %d post files (%d valid): %s", len(skipped), total, total - len(skipped), skipped)
+        log.warning("Skipped %d of %d post files (%d valid): %s", len(skipped), totals[0], totals[0] - len(skipped), skipped)
     df = spark.read.schema(schema).parquet(*_paths(paths)).select(*schema.fieldNames(), F.col("_metadata"))
     if skipped:
         df = df.where(~F.col(FILE).isin(skipped))
@@ -51,41 +53,8 @@ def read_posts(
     return df.drop("_metadata")
 
 
-def file_report(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``path, n_rows, valid`` of every matching file.
-
-    A file is valid if its footer can be read; a table without rows is. Only
-    footers are read here, so later damage shows when the rows are read.
-    """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(_paths(paths))
-    )
-    files = listed.select(F.col(FILE).alias("path"), "length")
-    readable = (
-        spark.read.option("ignoreCorruptFiles", "true")
-        .schema("author string")
-        .parquet(*_paths(paths))
-        .groupBy(F.col(FILE).alias("path"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
-    # what gave no row is an empty table or no table: look at both ends of the few short ones
-    marks = listed.where(F.col("length").between(12, EMPTY_BYTES)).select(
-        F.col(FILE).alias("path"),
-        (
-            (F.substring("content", 1, 4) == F.lit(b"PAR1"))
-            & (F.expr("substring(content, -4, 4)") == F.lit(b"PAR1"))
-        ).alias("marked"),
-    )
-    silent = files.join(readable, "path", "left_anti")
-    empty = marks.join(F.broadcast(silent.select("path")), "path", "left_semi") if not silent.isEmpty() else marks.limit(0)
-    return (
-        files.join(readable, "path", "left")
-        .join(empty, "path", "left")
-        .select(
-            "path",
-            F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-            (F.col("n_rows").isNotNull() | F.coalesce("marked", F.lit(False))).alias("valid"),
-        )
-    )
+def file_report(
+    spark: SparkSession, paths: str | Sequence[str], dates: Sequence[str] | None = None, store: str | None = None
+) -> DataFrame:
+    """``path, n_rows, valid`` of every matching file of ``dates``; see ``catalogue``."""
+    return catalogue(spark, paths, store, dates).select("path", "n_rows", "valid")
