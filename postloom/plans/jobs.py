@@ -23,7 +23,7 @@ from postloom.operators.posts import unique_posts, user_posts
 from postloom.plans.scratch import scratch_path
 from postloom.schemas import FIREHOSE, LANGUAGE, MIN_TEXT_LENGTH, POST, REPOST, STOP_WORDS, TEXT_LABELS
 from postloom.sinks import remove, write_by_date, write_table
-from postloom.sources import dates_of_files, read_firehose, read_lexicon, read_posts, read_user_list
+from postloom.sources import dates_of_files, read_firehose, read_lexicon, read_posts, read_users
 
 Paths = str | Sequence[str]
 UNKNOWN_DATE = "unknown_date"
@@ -81,22 +81,24 @@ def _listed(paths: Paths) -> list[str]:
 
 
 def user_posts_job(
-    spark: SparkSession, input: Paths, users: str, output: str, lang: str = LANGUAGE
+    spark: SparkSession, input: Paths, users: str, output: str, lang: str = LANGUAGE, users_form: str = "json"
 ) -> None:
     """Event files and a user list -> those users' posts by day, in time order.
 
     A rerun replaces all days of the input, those without any post included.
+    ``users_form`` tells a JSON document from the forms for long lists, lines
+    and tables.
     """
-    posts = user_posts(read_firehose(spark, input), read_user_list(spark, users), lang)
+    posts = user_posts(read_firehose(spark, input), read_users(spark, users, users_form), lang)
     days = dates_of_files(spark, _listed(input))
     write_by_date(posts, output, order_by=["createdAt", "author", "post_id"], days=days)
 
 
 def unique_posts_job(
-    spark: SparkSession, input: Paths, output: str, dates: Sequence[str] | None = None
+    spark: SparkSession, input: Paths, output: str, dates: Sequence[str] | None = None, store: str | None = None
 ) -> None:
-    """Daily post files -> one table of unique posts."""
-    write_table(unique_posts(read_posts(spark, input, dates)), output)
+    """Daily post files -> one table of unique posts; ``store`` keeps the catalogue of the files."""
+    write_table(unique_posts(read_posts(spark, input, dates, store=store)), output)
 
 
 def lexicon_job(

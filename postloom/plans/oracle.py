@@ -290,5 +290,24 @@ WHERE s.side = 'right_only' AND length(d.text) >= 15""",
     sql["composites_job"] = twice.format(sql["lexicon_composites"])
     sql["linguistic_job"] = twice.format(sql["linguistic_features"])
     sql["classifier_job"] = twice.format(sql["weighted_text_labels"])
+    sql["sample_rows_random"] = """
+      SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER () - 1 AS i FROM documents)
+      ORDER BY md5('42|documents.parquet|' || i), i LIMIT 100"""
+    none = ", ".join(
+        f"('{name}')"
+        for name in (
+            "english_posts repost_edges user_posts user_action_counts unique_posts unique_posts_job lexicon_features "
+            "linguistic_features score_text_labels order_by_time sample_users sample_rows"
+        ).split()
+    )
+    sql["day_without_records"] = base + f"""
+      , rows AS (SELECT count(*) AS n FROM firehose WHERE ingest_date = '1999-01-01')
+      SELECT operator, n FROM (VALUES {none}) AS o(operator), rows
+      UNION ALL SELECT 'describe_features', 2 + n FROM rows"""
+    sql["columns_missing"] = "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS table_name, c AS column_name FROM (VALUES ('author'), ('doc_id'), ('text'), ('ts')) AS v(c)
+            WHERE c NOT IN (SELECT column_name FROM (DESCRIBE {name}))"""
+        for name in ("documents", "events", "labels")
+    )
     sql = {name: _kinds(text) for name, text in sql.items()}
     return sql

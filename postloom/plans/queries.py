@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from postloom.plans.vocabulary import LABEL_WEIGHTS, LEXICON, LONG_LEXICON, PHRA
 from postloom.schemas import COMPOSITES, LABEL_PREFIX, LEXICON as LEXICON_SCHEMA, REPOST
 from postloom.sinks import write_by_date, write_csv
 from postloom.sources import (
+    missing_columns,
     read_actions_csv,
     read_firehose,
     read_lexicon,
@@ -281,7 +282,9 @@ def user_posts_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, output = _event_files(spark, sf_dir), scratch_path(spark, "user-posts")
     everyone = data.firehose(spark, sf_dir).select("author").distinct()
     for users in (everyone, data.target_users(spark, sf_dir)):
-        jobs.user_posts_job(spark, events, _user_list_file(spark, users), output)
+        table = scratch_path(spark, "users")
+        users.write.parquet(table)
+        jobs.user_posts_job(spark, events, table, output, users_form="table")
     posts = spark.read.parquet(output).withColumn("ingest_date", F.col("ingest_date").cast("string"))
     return _flat_langs(ops.order_by_time(posts, "createdAt", ["author", "post_id"]))
 
@@ -400,6 +403,44 @@ def classifier_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(output).select("post_id", *[LABEL_PREFIX + label for label in LABEL_WEIGHTS])
 
 
+def day_without_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows every operator gives for a day that no record is of."""
+    day = F.col("ingest_date") == "1999-01-01"
+    records = data.firehose(spark, sf_dir).where(day)
+    posts = read_posts(spark, _post_files(spark, sf_dir), dates=["1999-01-01"])
+    users = data.target_users(spark, sf_dir)
+    output = scratch_path(spark, "unique")
+    jobs.unique_posts_job(spark, _post_files(spark, sf_dir), output, dates=["1999-01-01"])
+    names = [f"{name}" for name in WORDS.categories]
+    results = {
+        "english_posts": ops.english_posts(records),
+        "repost_edges": ops.repost_edges(records),
+        "user_posts": ops.user_posts(records, users),
+        "user_action_counts": ops.user_action_counts(records),
+        "unique_posts": ops.unique_posts(posts),
+        "unique_posts_job": spark.read.parquet(output),
+        "lexicon_features": ops.lexicon_features(posts, "text", WORDS),
+        "linguistic_features": ops.linguistic_features(posts, "text"),
+        "describe_features": ops.describe_features(ops.lexicon_features(posts, "text", WORDS), names[:2]),
+        "score_text_labels": ops.score_text_labels(posts, "text", _weighted_models(spark)),
+        "order_by_time": ops.order_by_time(posts, "createdAt"),
+        "sample_users": ops.sample_users(posts, 10),
+        "sample_rows": ops.sample_rows(posts, 10),
+    }
+    counts = [df.agg(F.lit(name).alias("operator"), F.count(F.lit(1)).alias("n")) for name, df in results.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def columns_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which columns of a post each table lacks."""
+    rows = [
+        (name, column)
+        for name in ("documents", "events", "labels")
+        for column in missing_columns(data.table(spark, sf_dir, name), ["author", "doc_id", "text", "ts"])
+    ]
+    return spark.createDataFrame(rows, "table_name string, column_name string")
+
+
 def queries() -> dict[str, Query]:
     return {
         "repost_edges": repost_edges,
@@ -450,4 +491,6 @@ def queries() -> dict[str, Query]:
         "composites_job": composites_job,
         "linguistic_job": linguistic_job,
         "classifier_job": classifier_job,
+        "day_without_records": day_without_records,
+        "columns_missing": columns_missing,
     }

@@ -1,4 +1,4 @@
-"""User lists kept as one JSON document."""
+"""User lists: one JSON document, lines of text, or a table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def read_users(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
+    """Users as a one-column frame ``author``, which may be long.
+
+    ``form`` is ``json`` for one document (see ``read_user_list``), ``lines`` for
+    text with one user per line, or ``table`` for Parquet with a column
+    ``author``. The last two split over tasks and have no bound.
+    """
+    if form == "json":
+        return read_user_list(spark, path)
+    if form == "lines":
+        users = spark.read.text(path).select(F.trim("value").alias("author")).where("author <> ''")
+    elif form == "table":
+        users = spark.read.schema("author string").parquet(path).where("author IS NOT NULL")
+    else:
+        raise ValueError(f"form: {form}")
+    return users.distinct()
+
+
 def read_user_list(spark: SparkSession, path: str) -> DataFrame:
     """Users of a JSON file as a one-column frame ``author``.
 

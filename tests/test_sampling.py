@@ -28,3 +28,17 @@ def test_rows(spark):
 def test_sampling_sorts_no_whole_table(spark):
     plan = sample_rows(spark.range(500), 30)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_rows_of_files_are_drawn_by_their_place(spark, tmp_path):
+    spark.range(0, 3000).repartition(3).write.parquet(str(tmp_path / "t"))
+    draws = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = spark.read.parquet(str(tmp_path / "t")).select("id")
+        draws.append([r.id for r in sample_rows(df, 40).collect()])
+        other = [r.id for r in sample_rows(df, 40, seed=1).collect()]
+        assert len(set(draws[-1])) == 40 and other != draws[-1]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert draws[0] == draws[1]
+    assert df.rdd.getNumPartitions() != 0 and sample_rows(df, 5000).columns == ["id"]
