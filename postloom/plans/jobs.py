@@ -67,7 +67,7 @@ def repost_edges_job(
     try:
         staged = stage_firehose(spark, read_firehose(spark, input), path, min_len, lang)
         write_by_date(
-            repost_edges(staged, min_len, lang, same_day=True),
+            repost_edges(staged, min_len, lang, same_day=True, key_filter=True),
             output,
             order_by=["repost_created_at", "source", "post_id"],
             days=dates_of_files(spark, _listed(input)),
