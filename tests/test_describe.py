@@ -1,3 +1,4 @@
+import importlib
 import math
 import random
 
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from postloom.operators import describe_features
 from postloom.operators.describe import _ordered
 
+describe = importlib.import_module("postloom.operators.describe")
+
 NAMES = {"count": "count", "mean": "mean", "std": "std", "min": "min", "25%": "p25",
          "50%": "p50", "75%": "p75", "max": "max"}
 
@@ -110,3 +113,34 @@ def test_no_task_gets_most_of_a_skewed_column(spark):
     )
     sizes = [r["count"] for r in ordered.groupBy("part").count().collect()]
     assert sum(sizes) == 2 * n and max(sizes) < 2 * (2 * n / 16)
+
+
+def test_sketches_bound_the_quantiles(spark, monkeypatch):
+    """Bounds are narrowed several times, and what remains is exact."""
+    monkeypatch.setattr(describe, "EXACT_VALUES", 20)
+    sizes = []
+    real = describe._ordered
+    monkeypatch.setattr(describe, "_ordered", lambda df, n: sizes.append(df.count()) or real(df, n))
+    rng = random.Random(4)
+    n = 30_000
+    _check(
+        spark,
+        pd.DataFrame(
+            {
+                "uniform": [rng.random() for _ in range(n)],
+                "log-normal": [rng.lognormvariate(0, 5) for _ in range(n)],
+                "few values": [rng.choice([0, 0, 0, 1, 2, 9]) for _ in range(n)],
+                "one value": [3] * n,
+                "infinite": [float("-inf")] * 5 + [rng.gauss(0, 1) for _ in range(n - 5)],
+            }
+        ).drop(columns="infinite"),
+    )
+    assert sizes[0] < n / 10
+
+
+def test_a_sketch_that_errs_changes_nothing(spark, monkeypatch):
+    """Bounds without the rank are found out by counting."""
+    monkeypatch.setattr(describe, "EXACT_VALUES", 20)
+    monkeypatch.setattr(describe, "SKETCH_ERROR", -0.2)
+    rng = random.Random(5)
+    _check(spark, pd.DataFrame({"x": [rng.random() for _ in range(3000)]}))
