@@ -23,6 +23,8 @@ MIN_VALUE = 6
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Candidates that are ordinary identifiers for sure: one kind of characters, or words joined by one.
 ORDINARY = r"^([A-Za-z]+|[0-9]+|[a-z]+([_/=+-][a-z]+)+)$"
+#: The same with possessive runs, which Java matches without recursion, however long they are.
+ORDINARY_RUNS = r"^(?:[A-Za-z]++|[0-9]++|[a-z]++(?:[_/=+-][a-z]++)++)$"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Transitions that a character's own share of all counts as, beside those counted after another.
@@ -146,7 +148,7 @@ def find_secrets(
         labelled_secret = found.select(F.explode("secrets").alias("sample"), F.lit(True).alias("secret"))
         ordinary = (
             found.select(F.explode("candidates.value").alias("sample"), F.lit(False).alias("secret"))
-            .where(F.col("sample").rlike(ORDINARY))
+            .where(F.col("sample").rlike(ORDINARY_RUNS))
         )
         samples = labelled_secret.unionByName(ordinary)
     table = train_ratio(samples.where("sample IS NOT NULL AND secret IS NOT NULL"))
