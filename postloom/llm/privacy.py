@@ -23,7 +23,7 @@ from postloom.llm.spans import (
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: A run of 12 digits or more; shorter runs would be dropped.
-CARD = r"[0-9](?:[\x20-]?[0-9]){11,}"
+CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
