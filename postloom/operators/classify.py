@@ -11,13 +11,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, LinearSVCModel
+from pyspark.ml.classification import LinearSVCModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, SQLTransformer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.common import _py2java
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.operators.svm import fit_linear_svms
 from postloom.schemas import LABEL_PREFIX, TEXT_LABELS
 
 TEXT = "__text"
@@ -57,6 +58,11 @@ def _with_text(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn(TEXT, F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _classifier(spark: SparkSession, label: str, weights: Sequence[float], intercept: float) -> LinearSVCModel:
+    svc = spark.sparkContext._jvm.org.apache.spark.ml.classification.LinearSVCModel
+    return LinearSVCModel(svc(f"weights_{label}", _py2java(spark.sparkContext, Vectors.dense(weights)), intercept))
+
+
 def train_text_labels(
     df: DataFrame,
     text_col: str,
@@ -70,37 +76,30 @@ def train_text_labels(
     ``label_cols`` maps a label to its 0/1 column; rows with a NULL label are
     left out of that label's fit. Terms are hashed into ``num_features``
     positions, the size of the model: no term is left out and no vocabulary is
-    gathered. Fitting aggregates over partitions.
+    gathered. All labels are fitted in the same passes over the vectors.
     """
     columns = list(dict.fromkeys(label_cols.values()))
     texts = _with_text(df.where(F.col(text_col).isNotNull()), text_col).select(TEXT, *columns)
     stages = _term_stages()
-    # every fit below reads the vectors again, so texts are split only once
+    # every pass below reads the vectors again, so texts are split only once
     counter = HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=num_features)
     counts = counter.transform(PipelineModel(stages).transform(texts)).select("__counts", *columns).persist()
     vectors = None
-    svc = LinearSVC(
-        featuresCol=FEATURES, labelCol="__label", maxIter=max_iter, regParam=reg_param
-    )
     try:
         weights = IDF(inputCol="__counts", outputCol=FEATURES).fit(counts)
-        vectors = weights.transform(counts).select(FEATURES, *columns).persist()
-        fitted = {
-            col: svc.fit(
-                vectors.where(F.col(col).isNotNull()).select(
-                    FEATURES, F.col(col).cast("double").alias("__label")
-                )
-            )
-            for col in columns
-        }
+        labels = F.array(*[F.col(c).cast("double") for c in columns])
+        plain = weights.transform(counts).select(F.unwrap_udt(FEATURES).alias("v"), labels.alias("labels"))
+        vectors = plain.select("v.indices", "v.values", "labels").persist()
+        fitted = fit_linear_svms(vectors, num_features, len(columns), max_iter, reg_param)
     finally:
         if vectors is not None:
             vectors.unpersist()
         counts.unpersist()
+    by_column = dict(zip(columns, fitted))
     vectorizer = PipelineModel([*stages, counter, weights])
     return TextLabelModels(
         dict.fromkeys(label_cols, vectorizer),
-        {label: fitted[col] for label, col in label_cols.items()},
+        {label: _classifier(df.sparkSession, label, *by_column[col]) for label, col in label_cols.items()},
     )
 
 
@@ -117,11 +116,10 @@ def text_labels_from_weights(
     terms = sorted({t for own in weights.values() for t in own})
     counter = CountVectorizerModel.from_vocabulary(terms, "__terms", FEATURES)
     vectorizer = PipelineModel([*_term_stages(), counter])
-    svc = spark.sparkContext._jvm.org.apache.spark.ml.classification.LinearSVCModel
-    classifiers = {}
-    for label, own in weights.items():
-        vector = Vectors.dense([float(own.get(t, 0.0)) for t in terms])
-        classifiers[label] = LinearSVCModel(svc(f"weights_{label}", _py2java(spark.sparkContext, vector), intercept))
+    classifiers = {
+        label: _classifier(spark, label, [float(own.get(t, 0.0)) for t in terms], intercept)
+        for label, own in weights.items()
+    }
     return TextLabelModels(dict.fromkeys(weights, vectorizer), classifiers)
 
 

@@ -212,7 +212,9 @@ def score_text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_chars") > 1500).cast("int").alias("psychosis"),
         F.greatest(1 - F.col("quality"), "toxic").alias("loneliness"),
     )
-    models = ops.train_text_labels(labelled, "text", {c: c for c in labelled.columns if c != "text"})
+    # read again at each step of the fits, so worth one even shuffle
+    even = labelled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    models = ops.train_text_labels(even, "text", {c: c for c in labelled.columns if c != "text"})
     return ops.score_text_labels(texts, "text", models).drop("text")
 
 
