@@ -193,38 +193,32 @@ _VALID = {
 def _private() -> str:
     cut = ", ".join(f"{_PIECES.format(text='t', pattern=p)} AS p_{k}" for k, p in _PRIVATE.items())
     placed = ", ".join(f"list_filter({_placed(f'p_{k}')}, lambda s: {_VALID[k]}) AS {k}" for k in _PRIVATE)
-    mentions = " UNION ALL ".join(
-        f"SELECT doc_id, base, '{k}:' || lower(s.v) AS entity, right(s.l, {privacy.CONTEXT}) AS l, "
-        f"left(s.r, {privacy.CONTEXT}) AS r, s.a, s.b FROM (SELECT doc_id, base, unnest({k}) AS s FROM f)"
-        for k in _PRIVATE
+    mentions = " UNION ".join(
+        f"SELECT doc_id, '{k}:' || lower(s.v) AS entity FROM (SELECT doc_id, unnest({k}) AS s FROM f)" for k in _PRIVATE
     )
     base = "[]"
     for i, k in enumerate(_PRIVATE):
         base = f"list_concat({base}, {_kind(k, i, k)})" if i else _kind(k, i, k)
-    words = {side: _placed(f"p_{side}") for side in "lr"}
+    words = _PIECES.format(text="t", pattern=privacy.TERM)
     return f"""
 WITH p AS MATERIALIZED (SELECT doc_id, {cut} FROM ({_TEXTS})),
 q AS MATERIALIZED (SELECT doc_id, {placed} FROM p),
 f AS MATERIALIZED (SELECT *, list_sort({base}) AS base FROM q),
-mentions AS ({mentions}),
+mentions AS MATERIALIZED ({mentions}),
 pieces AS MATERIALIZED (
-  SELECT *, {_PIECES.format(text="l", pattern=privacy.TERM)} AS p_l, {_PIECES.format(text="r", pattern=privacy.TERM)} AS p_r
-  FROM mentions),
-sides AS (
-  SELECT doc_id, base, entity, l, r, a - length(l) AS moved, unnest({words["l"]}) AS w FROM pieces
-  UNION ALL SELECT doc_id, base, entity, l, r, b, unnest({words["r"]}) FROM pieces),
-contexts AS MATERIALIZED (
-  SELECT * FROM (SELECT doc_id, base, entity, l, r, moved + w.a AS a, moved + w.b AS b, lower(w.v) AS term FROM sides) x
+  SELECT f.doc_id, t, base, {words} AS p_t FROM f JOIN ({_TEXTS}) USING (doc_id) WHERE len(base) > 0),
+terms AS MATERIALIZED (
+  SELECT * FROM (SELECT doc_id, t, base, w.a, w.b, lower(w.v) AS term FROM (SELECT doc_id, t, base, unnest({_placed("p_t")}) AS w FROM pieces)) x
   WHERE len(list_filter(base, lambda o: x.a < o.b AND x.b > o.a)) = 0),
-docs_with AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM contexts GROUP BY entity),
+docs_with AS (SELECT entity, count(*) AS n_entity FROM mentions GROUP BY entity),
 words AS (
   SELECT term, count(*) AS n_term
   FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM ({_TEXTS}))
   GROUP BY term),
 pairs AS (
-  SELECT entity, term, count(*) AS n_contexts, sum(n) AS n_both
-  FROM (SELECT entity, term, l, r, count(DISTINCT doc_id) AS n FROM contexts GROUP BY ALL) GROUP BY entity, term
-  HAVING count(*) >= {privacy.SUPPORT}),
+  SELECT entity, term, count(*) AS n_both
+  FROM mentions JOIN (SELECT DISTINCT doc_id, md5(t) AS copy, term FROM terms) USING (doc_id)
+  GROUP BY entity, term HAVING count(DISTINCT copy) >= {privacy.SUPPORT}),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
 shares AS (
   SELECT entity, term, CASE WHEN ln(n / n_entity) > 0
@@ -232,7 +226,7 @@ shares AS (
     ELSE 0 END AS share
   FROM pairs JOIN docs_with USING (entity) JOIN words USING (term), total),
 spots AS (
-  SELECT doc_id, a, b, max(share) AS share FROM contexts JOIN shares USING (entity, term)
+  SELECT doc_id, a, b, max(share) AS share FROM mentions JOIN terms USING (doc_id) JOIN shares USING (entity, term)
   WHERE share >= {privacy.GENERALISE} GROUP BY doc_id, a, b),
 extra AS (
   SELECT doc_id, list({{'a': a, 'o': 4, 'b': b, 'k': CASE WHEN share >= {privacy.REMOVE} THEN 'remove' ELSE 'generalise' END}}) AS added
@@ -337,9 +331,11 @@ d AS (
 n AS (
   SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
 f AS MATERIALIZED (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 3
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 3
                  WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
-                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 1 ELSE 0 END AS fault,
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 1 ELSE 0 END AS fault,
          lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair
   FROM n),
 p AS ({_inserts(first)} UNION ALL {_inserts(following)}),

@@ -101,6 +101,23 @@ def test_revealing_terms_are_taken_out(spark):
     assert rows[30].clean == texts[30]
 
 
+def test_terms_far_from_a_mention(spark):
+    """A name 5,000 characters from the address, cut by no window, and its copies in one long text."""
+    filler = lambda i: " ".join(f"v{i}w{j}x" for j in range(700))
+    texts = [f"Zorblax wrote {filler(i)} mail john@corp.example and zorblax again" for i in range(4)]
+    texts += [f"wrote and mail again {i}" for i in range(80)]
+    texts += [texts[0], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in find_private(docs).collect()}
+    assert len(rows) == len(texts)
+    for i in (0, 1, 2, 3, 84):
+        at = texts[i].rindex("zorblax")
+        assert {f"remove:{a}:{a + 7}" for a in (0, at)} <= set(rows[i].spans.split(","))
+        words = {texts[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in rows[i].spans.split(",")) if k != "email"}
+        assert words == {"Zorblax", "zorblax"}
+    assert rows[10].spans == rows[85].spans == rows[86].spans == ""
+
+
 @pytest.mark.parametrize("operator", [find_secrets, find_private])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string")).collect() == []
