@@ -7,11 +7,12 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,15 +23,25 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
-#: Encoded pieces that a worker keeps, about 40 MB.
-CACHED_PIECES = 150_000
+#: Encoded runs that a worker keeps besides those in hand, about 40 MB.
+CACHED_RUNS = 150_000
+#: Bytes of text that are encoded together.
+CHUNK_BYTES = 4 << 20
+#: New runs that go through the model as one text.
+JOINED_RUNS = 1000
 
 _SCHEMA = "doc_id {id}, part int, part_start bigint, n_tokens bigint, ids array<int>"
-_cut = re.compile(r"(?<=\S) (?=\S)")
-# Runs that byte-level rules keep apart: Latin letters, digits, ASCII marks but
-# for the apostrophe (which may begin a contraction), and one line break.
-_letters, _digits, _marks = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[0-9]+", r"[!-&(-/:-@\[-`{-~]+"
-_run = re.compile(rf"{_letters}|{_digits}|{_marks}|\n")
+# Texts of Latin letters, digits, ASCII marks, and single spaces and line breaks.
+_char = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f0-9!-/:-@\\[-`{-~]"
+_plain = rf"\A ?{_char}(?:[\n ]?{_char})*\z"
+# What a byte of such a text is: every other byte is part of a letter.
+_LETTER, _DIGIT, _MARK, _SPACE, _LINE = range(5)
+_kinds = np.zeros(256, dtype=np.uint8)
+_kinds[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _MARK
+_kinds[0x30:0x3A] = _DIGIT
+_kinds[0x20], _kinds[0x0A] = _SPACE, _LINE
+# The contractions that byte-level rules keep whole.
+_contractions = (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d")
 _encoders: dict[int, tuple] = {}
 
 
@@ -41,13 +52,33 @@ def _as_bytes(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+def _runs(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the runs of plain texts begin that byte-level rules keep apart; ``texts`` has the starts of texts.
+
+    A run is letters, digits or marks with the space before them, a line break, or a contraction.
+    """
+    kind = _kinds[data]
+    begins = np.empty(len(data), dtype=bool)
+    begins[:1] = True
+    begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+    begins[texts] = True
+    quotes = np.flatnonzero(begins & (data == ord("'")))
+    for word in _contractions if len(quotes) else ():
+        here = quotes[quotes + len(word) <= len(data)]
+        for j, byte in enumerate(word[1:], 1):
+            here = here[(data[here + j] == byte) & ~np.isin(here + j, texts)]
+        begins[here + 1] = False
+        after = here + len(word)
+        begins[after[after < len(data)]] = True
+    return np.flatnonzero(begins)
+
+
 class _Encoder:
-    """Encodes texts with a tokenizer from the tokenizers library, each distinct piece once.
+    """Encodes texts with a tokenizer from the tokenizers library, each distinct run once.
 
-    A byte-level tokenizer always cuts before a single space between two other
-    characters, so the pieces between such spaces can be encoded alone; a piece of plain
-    runs is put together from the model's ids of its runs. Any other tokenizer
-    gets whole texts.
+    A byte-level tokenizer cuts a plain text into runs (``_runs``) and merges inside them
+    only, so the text's ids are those of its runs. Any other text, or tokenizer, goes whole
+    through the library.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -56,7 +87,7 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         setting = json.loads(tokenizer_json)
         rules = setting.get("pre_tokenizer") or {}
-        self.by_piece = (
+        self.by_run = (
             setting["model"].get("type", "BPE") == "BPE"
             and not setting.get("normalizer")
             and rules.get("type") == "ByteLevel"
@@ -65,83 +96,98 @@ class _Encoder:
             and not setting["model"].get("continuing_subword_prefix")
             and not setting["model"].get("end_of_word_suffix")
         )
-        special = [x["content"] for x in setting.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        # an added token of letters only, or with a space, may stand where pieces are cut or taken as plain
-        self.by_piece &= all(re.search(r"[^\w\s]", x) and not re.search(r"\s", x) for x in special)
+        self.special = "|".join(re.escape(x["content"]) for x in setting.get("added_tokens", []))
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (10, *range(32, 0x250))}
-        self.space, self.line = self.as_bytes[32], self.as_bytes[10]
+        # the model's runs, each with its space, as words of one text
+        self.by_space = Tokenizer(self.tokenizer.model)
+        self.by_space.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(self.as_bytes[32])]] = True
         self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"\n": self._model_ids(self.line)} if self.by_piece else {}
-
-    def _model_ids(self, mapped: str) -> bytes:
-        return _as_bytes([t.id for t in self.tokenizer.model.tokenize(mapped)])
-
-    def _run(self, run: str) -> bytes:
-        """Ids of one run."""
-        ids = self.runs.get(run)
-        if ids is None:
-            ids = self.runs[run] = self._model_ids(run if run.isascii() else run.translate(self.as_bytes))
-        return ids
-
-    def _after_space(self, run: str) -> bytes:
-        """Ids of one run after a space, which are those of the piece that is just this run."""
-        ids = self.known.get(run)
-        if ids is None:
-            ids = self.known[run] = self._model_ids(
-                self.space + (run if run.isascii() else run.translate(self.as_bytes))
-            )
-        return ids
-
-    def _plain(self, piece: str, first: Callable[[str], bytes]) -> bytes | None:
-        """Ids of a piece of plain runs, the first of them by ``first``; None for any other piece."""
-        if piece.isascii() and piece.isalpha():
-            return first(piece)
-        runs = _run.findall(piece)
-        if "".join(runs) != piece or "\n\n" in piece or piece[0] == "\n" or piece[-1] == "\n" or self.special.search(piece):
-            return None
-        return b"".join([first(runs[0]), *map(self._run, runs[1:])])
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces after a space; none of them begins or ends with white space."""
-        rare = []
-        for piece in pieces:
-            ids = self._plain(piece, self._after_space)
-            if ids is None:
-                rare.append(piece)
-            else:
-                self.known[piece] = ids
-        if rare:
-            self.known.update(zip(rare, self._ids([" " + p for p in rare])))
+        self.before: dict[str, bytes] = {}
+
+    def _learn(self, runs: list[str]) -> None:
+        """Ids of runs from the model."""
+        spaced = [r for r in runs if r[0] == " "]
+        mapped = [r.translate(self.as_bytes) for r in spaced]
+        joined = [" ".join(mapped[i : i + JOINED_RUNS]) for i in range(0, len(mapped), JOINED_RUNS)]
+        encoded = self.by_space.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.array([i for e in encoded for i in e.ids], dtype="<u4")
+        # only the first token of such a run begins with a space
+        begins = np.flatnonzero(self.begins[ids])
+        if len(begins) == len(spaced):
+            data, cuts = ids.tobytes(), (4 * np.append(begins, len(ids))).tolist()
+            self.known.update((r, data[i:j]) for r, i, j in zip(spaced, cuts[:-1], cuts[1:]))
+        for run in runs:
+            if run not in self.known:
+                self.known[run] = _as_bytes([t.id for t in self.tokenizer.model.tokenize(run.translate(self.as_bytes))])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [_as_bytes(e.ids) for e in encoded]
 
-    def _one(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *parts = text.split(" ")
-        tail = list(map(self.known.get, parts))
-        if None in tail or not head or head[-1].isspace():
-            missing = {p for p, ids in zip(parts, tail) if ids is None}
-            if not head or head[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
-                # spaces beside other white space don't cut
-                head, *parts = _cut.split(text)
-                missing = set(parts).difference(self.known)
-            if len(self.known) + len(self.runs) + len(missing) > CACHED_PIECES:
-                self.known.clear()
-                self.runs = {"\n": self.runs["\n"]}
-                missing = set(parts)
-            self._learn(missing)
-            tail = list(map(self.known.__getitem__, parts))
-        first = self._plain(head, self._run) if head[0] != " " else None
-        return b"".join([self._ids([head])[0] if first is None else first, *tail])
+    def _of_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct runs. Those not met while half a cache of others was learnt are forgotten."""
+        if len(self.known) > CACHED_RUNS // 2:
+            self.before, self.known = self.known, {}
+        found = list(map(self.known.get, runs))
+        if None not in found:
+            return found
+        missing = [r for r, ids in zip(runs, found) if ids is None]
+        held = list(map(self.before.get, missing))
+        self.known.update((r, ids) for r, ids in zip(missing, held) if ids is not None)
+        self._learn([r for r, ids in zip(missing, held) if ids is None])
+        return list(map(self.known.__getitem__, runs))
+
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, each text's followed by ``end``, and how many each has."""
+        texts = texts.fill_null("")
+        by_run = np.zeros(len(texts), dtype=bool)
+        if self.by_run:
+            by_run = pc.match_substring_regex(texts, _plain).to_numpy(zero_copy_only=False)
+            if self.special:
+                by_run = by_run & ~pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
+        whole = self._ids(texts.filter(pa.array(~by_run)).to_pylist())
+        plain = pa.concat_arrays([texts.filter(pa.array(by_run))]).cast(pa.large_string())
+        to = np.frombuffer(plain.buffers()[1], dtype=np.int64)[plain.offset :][: len(plain) + 1] if len(plain) else np.zeros(1, np.int64)
+        data = np.frombuffer(plain.buffers()[2], dtype=np.uint8)[to[0] : to[-1]] if len(plain) else np.zeros(0, np.uint8)
+        begins = _runs(data, to[:-1] - to[0])
+        offsets = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
+        coded = pa.LargeStringArray.from_buffers(len(begins), offsets, pa.py_buffer(data)).dictionary_encode()
+        # entries of the table: the runs, the whole texts and the end
+        entries = [*self._of_runs(coded.dictionary.to_pylist()), *whole, end]
+        n = np.ones(len(texts), dtype=np.int64)
+        n[by_run] = np.diff(np.searchsorted(begins, to - to[0]))
+        codes = np.empty(int(n.sum()), dtype=np.int64)
+        of_run = np.repeat(by_run, n)
+        codes[of_run] = coded.indices.to_numpy()
+        codes[~of_run] = len(entries) - 1 - len(whole) + np.arange(len(whole))
+        codes = np.insert(codes, np.cumsum(n), len(entries) - 1)
+        sizes = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
+        table = np.frombuffer(b"".join(entries) or bytearray(), dtype="<i4")
+        firsts, size = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        last = np.cumsum(size)
+        ids = table[np.repeat(firsts - (last - size), size) + np.arange(int(size.sum()))]
+        return ids, np.diff(last[np.cumsum(n + 1) - 1], prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        return [self._one(t) for t in texts] if self.by_piece else self._ids(texts)
+        ids, n = self.encode_all(pa.array(texts, pa.string()))
+        to = np.cumsum(n)
+        return [ids[a:b].tobytes() for a, b in zip(to - n, to)]
+
+
+def _batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``CHUNK_BYTES``; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        low = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
+        yield at, to
+        at = to
 
 
 def _encoder(tokenizer_json: str) -> _Encoder:
@@ -167,12 +213,11 @@ def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID)
         encoder = _encoder(content.value)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                encoded = [e + end for e in encoder.encode([t or "" for t in rows.column(1).to_pylist()])]
-                n = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
+            for at, to in _batches(batch.column(1)):
+                rows = batch.slice(at, to - at)
+                found, n = encoder.encode_all(rows.column(1), end)
                 ends = np.cumsum(n)
-                ids = pa.array(np.frombuffer(b"".join(encoded), dtype="<i4"))
+                ids = pa.array(found)
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -4,12 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from postloom.llm import tokens
 from postloom.llm.tokens import _Encoder, read_tokens, with_crc32, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +48,25 @@ def test_any_text_encodes_like_the_whole(encoder, tokenizer, text):
     assert ids(encoder, text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("asldtremv É9.-_\n") + [" ", "'"] * 4), max_size=30), max_size=6))
+def test_contractions_and_plain_texts_beside_others(encoder, tokenizer, texts):
+    texts = [*texts, "  ", "don't we'll", *TEXTS[:4]]
+    found, n = encoder.encode_all(pa.array(texts, pa.string()), np.array([2], dtype="<u4").tobytes())
+    wanted = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == [len(w) for w in wanted]
+    assert found.tolist() == sum(wanted, [])
+
+
+def test_long_texts_and_a_full_cache(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_RUNS", 20)
+    with open(PATH, encoding="utf-8") as f:
+        small = _Encoder(f.read())
+    texts = [" ".join(f"word{i % k} a{i}b," for i in range(20_000)) for k in (3, 7)] + ["z" * 300_000]
+    for text in texts * 2:
+        assert ids(small, text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_get_whole_texts():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         content = f.read()
