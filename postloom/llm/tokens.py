@@ -23,8 +23,8 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
-#: Encoded runs that a worker keeps besides those in hand, about 40 MB.
-CACHED_RUNS = 150_000
+#: Encoded runs that a worker keeps besides those in hand, about 50 MB.
+CACHED_RUNS = 200_000
 #: Bytes of text that are encoded together.
 CHUNK_BYTES = 4 << 20
 #: New runs that go through the model as one text.
@@ -73,6 +73,15 @@ def _runs(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def _uncached(model: dict):
+    """The tokenizer's model without a cache of words."""
+    from tokenizers import models
+
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    rules = {k: model[k] for k in ("dropout", "unk_token", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)}
+    return models.BPE(model["vocab"], merges, cache_capacity=0, **rules)
+
+
 class _Encoder:
     """Encodes texts with a tokenizer from the tokenizers library, each distinct run once.
 
@@ -99,8 +108,9 @@ class _Encoder:
         self.special = "|".join(re.escape(x["content"]) for x in setting.get("added_tokens", []))
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (10, *range(32, 0x250))}
-        # the model's runs, each with its space, as words of one text
-        self.by_space = Tokenizer(self.tokenizer.model)
+        # runs with a space before them as words of one text; the model's own cache would not hold them
+        self.parted = {**self.as_bytes, 32: " " + self.as_bytes[32]}
+        self.by_space = Tokenizer(_uncached(setting["model"]) if self.by_run else self.tokenizer.model)
         self.by_space.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
@@ -110,9 +120,9 @@ class _Encoder:
 
     def _learn(self, runs: list[str]) -> None:
         """Ids of runs from the model."""
-        spaced = [r for r in runs if r[0] == " "]
-        mapped = [r.translate(self.as_bytes) for r in spaced]
-        joined = [" ".join(mapped[i : i + JOINED_RUNS]) for i in range(0, len(mapped), JOINED_RUNS)]
+        spaced = sorted((r for r in runs if r[0] == " "), key=str.isascii)
+        joined = ["".join(spaced[i : i + JOINED_RUNS]) for i in range(0, len(spaced), JOINED_RUNS)]
+        joined = [j.replace(" ", self.parted[32]) if j.isascii() else j.translate(self.parted) for j in joined]
         encoded = self.by_space.encode_batch_fast(joined, add_special_tokens=False)
         ids = np.array([i for e in encoded for i in e.ids], dtype="<u4")
         # only the first token of such a run begins with a space
@@ -157,7 +167,7 @@ class _Encoder:
         offsets = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
         coded = pa.LargeStringArray.from_buffers(len(begins), offsets, pa.py_buffer(data)).dictionary_encode()
         # entries of the table: the runs, the whole texts and the end
-        entries = [*self._of_runs(coded.dictionary.to_pylist()), *whole, end]
+        entries = [*self._of_runs(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), *whole, end]
         n = np.ones(len(texts), dtype=np.int64)
         n[by_run] = np.diff(np.searchsorted(begins, to - to[0]))
         codes = np.empty(int(n.sum()), dtype=np.int64)
