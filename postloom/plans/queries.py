@@ -24,6 +24,7 @@ from postloom.sources import (
     read_posts,
     read_user_list,
 )
+from postloom.sources.catalogue import list_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -238,17 +239,26 @@ def annotate_longest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "label string, prediction double")
 
 
-_inputs: dict[tuple[str, str, str], str] = {}
+_inputs: dict[tuple[str, str, str], tuple[tuple, str]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of the tables' files from another."""
+    files = list_files(spark, [f"{sf_dir}/{name}.parquet" for name in data.SCHEMAS])
+    return tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modified"))).first())
 
 
 def _input_files(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
-    """Files that a query reads, written once per application; only their reading is the query's work."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _inputs:
+    """Files that a query reads; only their reading is the query's work.
+
+    They are written once per application, and again when the tables' files have changed.
+    """
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), _state(spark, sf_dir)
+    if key not in _inputs or _inputs[key][0] != state:
         path = scratch_path(spark, name)
         write(path)
-        _inputs[key] = path
-    return _inputs[key]
+        _inputs[key] = (state, path)
+    return _inputs[key][1]
 
 
 def _event_files(spark: SparkSession, sf_dir: str) -> str:
