@@ -262,7 +262,8 @@ def write_tokens(
     gets the lengths without the ids, or some documents without the others. Null
     texts are empty and get the end id only. Rows with a null id come first;
     repeated ids are ordered by a hash of the text. An empty table gives an empty folder
-    that still reads with the declared columns. Other columns are ignored.
+    that still reads with the declared columns. Other columns are ignored. A text of any length
+    is encoded whole, one longer than ``CHUNK_BYTES`` alone.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import duckdb
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.brute import shingle_set
@@ -63,7 +65,35 @@ def test_tokens_stage(stages):
     ids = [r.doc_id for r in tokens]
     assert ids == sorted(r.doc_id for r in stages[4].collect())
     assert [r.start for r in tokens] == [sum(r.n_tokens for r in tokens[:i]) for i in range(len(tokens))]
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    size = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in stages[4].collect()}
+    assert [r.n_tokens for r in tokens] == [size[r.doc_id] for r in tokens]
 
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(map(tuple, stages[5].collect()))
+
+
+def through(spark, docs, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(folder / name)
+        stage(spark, docs, SF_DIR).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+def test_empty_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    assert through(spark, docs.limit(0), tmp_path).collect() == []
+
+
+def test_null_repeated_and_clashing(spark, tmp_path):
+    """Null ids and texts, repeated rows and columns named like the stages' own."""
+    rows = [(1, "one fine day by the sea"), (1, "one fine day by the sea"), (2, None), (3, ""), (None, "a text of no id"), (4, "word " * 30_000)]
+    clashing = ("score", "label", "taken", "start", "n_tokens", "part", "ids", "size", "row", "words", "seed")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "'en' AS lang", "'s' AS source", "1L AS n_chars", *(f"7 AS {c}" for c in clashing)
+    )
+    got = through(spark, docs, tmp_path).collect()
+    assert {r.doc_id for r in got} <= {1, 2, 3, 4, None} and {1, 4} <= {r.doc_id for r in got}
+    assert sorted(r.start for r in got)[0] == 0
