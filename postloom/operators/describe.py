@@ -144,7 +144,8 @@ def _quantile_values(values: DataFrame, totals: Sequence, quantiles: Sequence[fl
     while open_ranges := {r: x for r, x in done.items() if r.inside > EXACT_VALUES and r.low < r.high}:
         narrowed = _narrowed(values, open_ranges)
         closed = {r: x for r, x in done.items() if r not in open_ranges}
-        done = closed | narrowed
+        # a narrowed range may be one that is closed already
+        done = {r: closed.get(r, []) + narrowed.get(r, []) for r in [*closed, *(r for r in narrowed if r not in closed)]}
         if sum(r.inside for r in narrowed) * 2 > sum(r.inside for r in open_ranges):
             break  # few distinct values fill the ranges, or a sketch erred: the counts below take any size
     ranges = list(done)

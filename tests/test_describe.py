@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from postloom.operators import describe_features
@@ -144,3 +145,15 @@ def test_a_sketch_that_errs_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(describe, "SKETCH_ERROR", -0.2)
     rng = random.Random(5)
     _check(spark, pd.DataFrame({"x": [rng.random() for _ in range(3000)]}))
+
+
+def test_ranks_that_meet_in_one_range_are_all_kept(spark, monkeypatch):
+    """One rank's range closes a round before another's narrows to the same."""
+    monkeypatch.setattr(describe, "EXACT_VALUES", 2)
+    zeros, more = describe.Range("x", 0.0, 0.0, 0, 6), describe.Range("x", 0.0, 1.0, 0, 40)
+    rounds = iter([{zeros: [(1, 2)], more: [(3, 4)]}, {zeros: [(3, 4)]}])
+    monkeypatch.setattr(describe, "_narrowed", lambda values, wanted: next(rounds))
+    values = spark.createDataFrame([("x", float(i > 5)) for i in range(100)], "feature string, value double")
+    totals = [Row(feature="x", count=100, min=0.0, max=1.0)]
+    found = describe._quantile_values(values, totals, [0.2, 0.4], 2)
+    assert sorted((r["feature"], r["rank"], r["value"]) for r in found.collect()) == [("x", i, 0.0) for i in (1, 2, 3, 4)]
