@@ -164,23 +164,30 @@ class _Encoder:
         to = np.frombuffer(plain.buffers()[1], dtype=np.int64)[plain.offset :][: len(plain) + 1] if len(plain) else np.zeros(1, np.int64)
         data = np.frombuffer(plain.buffers()[2], dtype=np.uint8)[to[0] : to[-1]] if len(plain) else np.zeros(0, np.uint8)
         begins = _runs(data, to[:-1] - to[0])
-        offsets = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
+        n = np.ones(len(texts), dtype=np.int64)
+        n[by_run] = np.diff(np.searchsorted(begins, to - to[0]))
+        offsets = pa.py_buffer(np.append(begins, len(data)))
         coded = pa.LargeStringArray.from_buffers(len(begins), offsets, pa.py_buffer(data)).dictionary_encode()
+        # arrays by run and by id are as long as the text: none is kept, and numbers below its bytes need 32 bits
+        del begins, offsets, data, plain
         # entries of the table: the runs, the whole texts and the end
         entries = [*self._of_runs(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), *whole, end]
-        n = np.ones(len(texts), dtype=np.int64)
-        n[by_run] = np.diff(np.searchsorted(begins, to - to[0]))
-        codes = np.empty(int(n.sum()), dtype=np.int64)
+        codes = np.empty(int(n.sum()), dtype=np.int32)
         of_run = np.repeat(by_run, n)
         codes[of_run] = coded.indices.to_numpy()
         codes[~of_run] = len(entries) - 1 - len(whole) + np.arange(len(whole))
+        del coded, of_run
         codes = np.insert(codes, np.cumsum(n), len(entries) - 1)
         sizes = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
         table = np.frombuffer(b"".join(entries) or bytearray(), dtype="<i4")
-        firsts, size = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-        last = np.cumsum(size)
-        ids = table[np.repeat(firsts - (last - size), size) + np.arange(int(size.sum()))]
-        return ids, np.diff(last[np.cumsum(n + 1) - 1], prepend=0)
+        kind = np.int32 if max(len(table), int(sizes[codes].sum())) < 2**31 else np.int64
+        firsts, size = (np.cumsum(sizes) - sizes).astype(kind)[codes], sizes.astype(kind)[codes]
+        last = np.cumsum(size, dtype=kind)
+        firsts -= last
+        firsts += size
+        at = np.repeat(firsts, size)
+        at += np.arange(len(at), dtype=kind)
+        return table[at], np.diff(last[np.cumsum(n + 1) - 1].astype(np.int64), prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -208,6 +215,12 @@ def _encoder(tokenizer_json: str) -> _Encoder:
     return _encoders[key][0]
 
 
+def _forget_encoders() -> None:
+    """Give the memory of a worker's tokenizer and runs back; the next text to encode loads it again."""
+    _encoders.clear()
+    release_memory()
+
+
 def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
     """Token ids of rows that are range-partitioned and sorted by ``doc_id``.
 
@@ -220,6 +233,8 @@ def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID)
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        # a worker may come from another stage, with what that left
+        release_memory()
         encoder = _encoder(content.value)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -302,6 +317,8 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
     """Replace ``ids`` by the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker may come from the stage that encoded
+        _forget_encoders()
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
             values = ids.values.to_numpy().astype("<i4", copy=False)
@@ -311,6 +328,7 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(c for c, _ in others), pa.array(crc, type=pa.int64())], names=[*(n for _, n in others), "ids_crc32"]
             )
+        release_memory()
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema if f.name != "ids"]
     return tokens.mapInArrow(run, ", ".join([*fields, "ids_crc32 bigint"]))

@@ -117,3 +117,17 @@ def test_empty_table(spark, tmp_path):
     write_tokens(docs, path, PATH)
     assert read_tokens(spark, path).collect() == []
     assert with_crc32(read_tokens(spark, path)).collect() == []
+
+
+def test_checksums_leave_no_encoder_in_their_workers(monkeypatch):
+    """A worker that encoded gives its tokenizer back before it reads ids."""
+
+    class Frame:
+        schema = ()
+
+        def mapInArrow(self, run, schema):
+            return run(iter([pa.RecordBatch.from_pydict({"ids": pa.array([[7]], pa.list_(pa.int32()))})]))
+
+    monkeypatch.setattr(tokens, "_encoders", {1: ("encoder",)})
+    first = next(iter(with_crc32(Frame())))
+    assert first.column(0).to_pylist() == [zlib.crc32(b"\x07\0\0\0")] and not tokens._encoders
