@@ -337,9 +337,13 @@ def action_counts_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _post_files(spark: SparkSession, sf_dir: str) -> str:
-    by_day = data.posts(spark, sf_dir).withColumn("ingest_date", F.left("createdAt", F.lit(10)))
-    order = ["createdAt", "post_id"]
-    return _input_files(spark, sf_dir, "posts", lambda path: write_by_date(by_day, path, order_by=order))
+    """``data.posts`` by day; a post is dealt and sorted once, and repeated as it is written."""
+    by_day = data.first_posts(spark, sf_dir).withColumn("ingest_date", F.left("createdAt", F.lit(10)))
+
+    def write(path: str) -> None:
+        write_by_date(by_day, path, order_by=["createdAt", "post_id"], then=data.repeated_untagged)
+
+    return _input_files(spark, sf_dir, "posts", write)
 
 
 def unique_posts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:

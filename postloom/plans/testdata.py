@@ -91,9 +91,9 @@ def target_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Post table over two daily files: the second repeats every post untagged."""
-    first = firehose(spark, sf_dir).where(F.col("type") == POST).select(
+def first_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Post table of one delivery."""
+    return firehose(spark, sf_dir).where(F.col("type") == POST).select(
         "author",
         "createdAt",
         "type",
@@ -102,6 +102,18 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         "langs",
     )
+
+
+def repeated_untagged(first: DataFrame) -> DataFrame:
+    """Every post and, beside it, itself without languages."""
+    both = F.explode(F.array(F.struct(F.col("langs")), F.struct(F.lit(None).cast("array<string>").alias("langs"))))
+    kept = first.withColumn("__both", both)
+    return kept.select(*[F.col("__both.langs") if c == "langs" else F.col(c) for c in first.columns])
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Post table over two daily files: the second repeats every post untagged."""
+    first = first_posts(spark, sf_dir)
     return first.unionByName(first.withColumn("langs", F.lit(None).cast("array<string>")))
 
 

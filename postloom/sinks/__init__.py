@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ def write_by_date(
     order_by: Sequence[str] = (),
     date_col: str = "ingest_date",
     days: Sequence[str] | None = None,
+    then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """One directory per day; a rerun replaces only the days it holds.
 
@@ -41,6 +42,10 @@ def write_by_date(
     Without an order the rows are rebalanced by day, which splits big days over
     several tasks and files. With one, days are cut into ranges of it: files of
     a day follow each other in order, and a big day still spreads.
+
+    ``then`` is a narrow step, row by row, that the dealt and ordered rows take before they are
+    written: what makes several rows of one is shuffled and sorted as that one. It leaves
+    the day as it is.
     """
     spark, table = df.sparkSession, path.rstrip("/")
     if order_by:
@@ -48,6 +53,8 @@ def write_by_date(
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     else:
         df = df.hint("rebalance", F.col(date_col))
+    if then:
+        df = then(df)
     run = f"run-{uuid.uuid4().hex}"
     df.write.partitionBy(date_col).parquet(f"{table}/{RUNS}/{run}")
     # the input may be this table, so what was left open is finished after it was read

@@ -276,3 +276,24 @@ def test_query_inputs_follow_the_tables(spark, tmp_path):
     spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert inputs() not in (first, second)
     assert len(written) == 3
+
+
+def test_rows_are_repeated_after_they_are_dealt_and_sorted(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from postloom.plans.testdata import repeated_untagged
+    from postloom.sinks import write_by_date
+
+    rows = [(f"2024-01-0{1 + i % 3}", i, None if i == 4 else ["en"]) for i in range(30)] + [("2024-01-01", 0, ["en"])]
+    posts = spark.createDataFrame(rows, "ingest_date string, k int, langs array<string>")
+    plans = []
+
+    def then(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return repeated_untagged(df)
+
+    write_by_date(posts, str(tmp_path / "t"), order_by=["k"], then=then)
+    assert "RepartitionByExpression" in plans[0] and "Sort" in plans[0] and "Generate" not in plans[0]
+    got = spark.read.parquet(str(tmp_path / "t")).select(F.col("ingest_date").cast("string"), "k", "langs")
+    want = posts.unionByName(posts.withColumn("langs", F.lit(None).cast("array<string>")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
