@@ -301,6 +301,15 @@ def _tokens_with_entries(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     return every.join(broadcast_if_small(entries), "anchor").drop("anchor")
 
 
+#: Positions, from 1, in a sorted array at which another token begins, and each token with its count.
+_FIRSTS = "filter(sequence(1, greatest(size(__sorted), 1)), p -> p = 1 OR get(__sorted, p - 1) <> get(__sorted, p - 2))"
+_COUNTED = (
+    "if(size(__sorted) > 0, "
+    "transform(__firsts, (p, i) -> struct(get(__sorted, p - 1) AS token, "
+    "CAST(coalesce(get(__firsts, i + 1), size(__sorted) + 1) - p AS BIGINT) AS n)), NULL)"
+)
+
+
 def lexicon_counts_join(
     df: DataFrame,
     text_col: str,
@@ -314,8 +323,9 @@ def lexicon_counts_join(
     row, whether or not ``keys`` identify it. The lexicon may have any length and
     any entries, phrases and punctuation included, and counts as in ``lexicon_counts``.
 
-    Rows are reduced to (row, token, count) once. The distinct tokens of all texts
-    meet the lexicon, and a token then brings its categories back to the rows; the
+    Rows are reduced to (row, token, count) once, each where it stands, by its sorted words.
+    The distinct tokens of all texts meet the lexicon, and a token then brings its categories
+    back to the rows, by broadcast if a count shows those tokens to be few; otherwise the
     adaptive skew join splits a token that fills much of all texts. Rows with a token that an
     entry of several words or marks needs are counted by the alternation of just the
     entries that may occur in them.
@@ -330,20 +340,17 @@ def lexicon_counts_join(
     if has_odd:
         rows = _written(rows, "texts")
     token = rf"{WORD_RUN}|[^\p{{L}}\p{{N}}_\s]" if has_odd else WORD_RUN
+    sorted_tokens = F.array_sort(F.regexp_extract_all("__text", F.lit(token), F.lit(0))).alias("__sorted")
     tokens = _written(
-        rows.select(
-            "__row", *keys,
-            F.col("__text").isNotNull().alias("__has_text"),
-            F.explode_outer(F.regexp_extract_all("__text", F.lit(token), F.lit(0))).alias("token"),
-        )
-        .groupBy("__row", *keys, "__has_text", "token")
-        .agg(F.count(F.lit(1)).alias("n")),
+        rows.select("__row", *keys, F.col("__text").isNotNull().alias("__has_text"), sorted_tokens)
+        .select("*", F.expr(_FIRSTS).alias("__firsts"))
+        .select("__row", *keys, "__has_text", F.expr(f"inline_outer({_COUNTED})").alias("token", "n")),
         "tokens",
     )
     known = _written(_tokens_with_entries(tokens.where("token IS NOT NULL"), entries), "known")
     # a word hits a category once, by however many entries; written, so that the join can split a hot word
     plain = _written(known.where("plain").groupBy("token").agg(F.collect_set("cat_idx").alias("cats")), "plain")
-    hits = tokens.select("__row", "token", "n").join(plain, "token").select(
+    hits = tokens.select("__row", "token", "n").join(broadcast_if_small(plain), "token").select(
         "__row", F.explode("cats").alias("cat_idx"), "n", F.lit(False).alias("odd")
     )
     if has_odd:
