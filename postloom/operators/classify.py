@@ -84,16 +84,14 @@ def train_text_labels(
     # every pass below reads the vectors again, so texts are split only once
     counter = HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=num_features)
     counts = counter.transform(PipelineModel(stages).transform(texts)).select("__counts", *columns).persist()
-    vectors = None
     try:
         weights = IDF(inputCol="__counts", outputCol=FEATURES).fit(counts)
         labels = F.array(*[F.col(c).cast("double") for c in columns])
         plain = weights.transform(counts).select(F.unwrap_udt(FEATURES).alias("v"), labels.alias("labels"))
-        vectors = plain.select("v.indices", "v.values", "labels").persist()
+        # read once: the fit keeps its own form of them
+        vectors = plain.select("v.indices", "v.values", "labels")
         fitted = fit_linear_svms(vectors, num_features, len(columns), max_iter, reg_param)
     finally:
-        if vectors is not None:
-            vectors.unpersist()
         counts.unpersist()
     by_column = dict(zip(columns, fitted))
     vectorizer = PipelineModel([*stages, counter, weights])

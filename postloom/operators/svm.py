@@ -18,21 +18,43 @@ from pyspark.sql import DataFrame
 SLICE = 1 << 17
 #: Searches keep this many earlier steps.
 MEMORY = 10
+#: Rows of a block that the passes read, at most.
+BLOCK_ROWS = 1000
 
 _SUMS = "slice int, part binary"
 
 Batch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _sparse(batch: pa.RecordBatch, n_labels: int) -> Batch:
+def _packed(rows: DataFrame, n_features: int, n_labels: int) -> DataFrame:
+    """The rows in blocks of numpy bytes: every pass reads them as they are, without a list for each row."""
+    at_kind = "<u2" if n_features <= 1 << 16 else "<i4"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK_ROWS):
+                indices, values, labels = (batch.column(i).slice(low, BLOCK_ROWS) for i in range(3))
+                parts = (
+                    indices.value_lengths().to_numpy(zero_copy_only=False).astype("<i4"),
+                    indices.flatten().to_numpy().astype(at_kind),
+                    values.flatten().to_numpy().astype("<f8"),
+                    labels.flatten().to_numpy(zero_copy_only=False).astype("<f8"),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=names)
+
+    names = ["n", "at", "value", "labels"]
+    return rows.mapInArrow(pack, ", ".join(f"{x} binary" for x in names))
+
+
+def _blocks(batch: pa.RecordBatch, n_features: int, n_labels: int) -> Iterator[Batch]:
     """Row, position and value of every entry, and labels by row with NaN for null."""
-    indices, values, labels = (batch.column(i) for i in range(3))
-    rows = np.repeat(np.arange(batch.num_rows), indices.value_lengths().to_numpy(zero_copy_only=False))
-    known = labels.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n_labels)
-    return rows, indices.flatten().to_numpy(), values.flatten().to_numpy(), known
+    kinds = ("<i4", "<u2" if n_features <= 1 << 16 else "<i4", "<f8", "<f8")
+    for i in range(batch.num_rows):
+        n, at, value, labels = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns, kinds))
+        yield np.repeat(np.arange(len(n)), n), at.astype(np.int64), value, labels.reshape(-1, n_labels)
 
 
-def _summed(rows: DataFrame, shape: tuple[int, int], add: Callable[[Batch, np.ndarray], None]) -> np.ndarray:
+def _summed(blocks: DataFrame, n_features: int, shape: tuple[int, int], add: Callable[[Batch, np.ndarray], None]) -> np.ndarray:
     """Sum over all rows of what ``add`` puts into a block of ``shape``.
 
     A task sends one block, cut into slices; the slices are added up as they
@@ -44,9 +66,9 @@ def _summed(rows: DataFrame, shape: tuple[int, int], add: Callable[[Batch, np.nd
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, met = np.zeros(shape), False
         for batch in batches:
-            if batch.num_rows:
+            for one in _blocks(batch, n_features, n_labels):
                 met = True
-                add(_sparse(batch, n_labels), block)
+                add(one, block)
         if met:
             flat = block.ravel()
             yield _rows((i, flat[i * SLICE : (i + 1) * SLICE]) for i in range(n_slices))
@@ -63,7 +85,7 @@ def _summed(rows: DataFrame, shape: tuple[int, int], add: Callable[[Batch, np.nd
         if sums:
             yield _rows(sums.items())
 
-    slices = rows.mapInArrow(partial, _SUMS).repartition(min(n_slices, 32), "slice").mapInArrow(total, _SUMS)
+    slices = blocks.mapInArrow(partial, _SUMS).repartition(min(n_slices, 32), "slice").mapInArrow(total, _SUMS)
     block = np.zeros(n_slices * SLICE)
     # one row for each slice of a block of the model's size
     for row in slices.collect():
@@ -88,15 +110,19 @@ def _moments(rows: DataFrame, n_features: int, n_labels: int) -> np.ndarray:
 
     def add(batch: Batch, block: np.ndarray) -> None:
         row, at, value, labels = batch
+        sums: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for label in range(n_labels):
             known = ~np.isnan(labels[:, label])
-            mine = known[row]
-            block[label, :n_features] += np.bincount(at[mine], value[mine], n_features)
-            block[label, n_features : 2 * n_features] += np.bincount(at[mine], value[mine] ** 2, n_features)
+            # labels that are known for the same rows share their sums
+            if known.tobytes() not in sums:
+                mine = known[row]
+                sums[known.tobytes()] = tuple(np.bincount(at[mine], x, n_features) for x in (value[mine], value[mine] ** 2))
+            block[label, :n_features] += sums[known.tobytes()][0]
+            block[label, n_features : 2 * n_features] += sums[known.tobytes()][1]
             block[label, -2] += known.sum()
             block[label, -1] += (known & ~np.isin(labels[:, label], (0.0, 1.0))).sum()
 
-    return _summed(rows, (n_labels, 2 * n_features + 2), add)
+    return _summed(rows, n_features, (n_labels, 2 * n_features + 2), add)
 
 
 def _hinge(rows: DataFrame, points: np.ndarray, open_labels: list[int]) -> np.ndarray:
@@ -118,7 +144,7 @@ def _hinge(rows: DataFrame, points: np.ndarray, open_labels: list[int]) -> np.nd
             block[label, width] += loss.sum()
 
     try:
-        return _summed(rows, (n_labels, width + 1), add)
+        return _summed(rows, width - 1, (n_labels, width + 1), add)
     finally:
         held.unpersist()
 
@@ -178,8 +204,20 @@ def fit_linear_svms(
     vector, and an array of ``n_labels`` labels 0 or 1, null where a row takes no
     part in that label's fit. The loss is the mean hinge loss plus the squared
     weights of features scaled to unit deviation. A label without a row gets zeros.
-    ``rows`` is read once for the deviations and once for each step of all searches.
+    ``rows`` is read once and kept in blocks of numpy bytes, which are read once for the
+    deviations and once for each step of all searches.
     """
+    blocks = _packed(rows, n_features, n_labels).persist()
+    try:
+        return _fitted(blocks, n_features, n_labels, max_iter, reg_param, tol)
+    finally:
+        blocks.unpersist()
+
+
+def _fitted(
+    rows: DataFrame, n_features: int, n_labels: int, max_iter: int, reg_param: float, tol: float
+) -> list[tuple[np.ndarray, float]]:
+    """The same over the blocks of the rows."""
     moments = _moments(rows, n_features, n_labels)
     wrong = [i for i in range(n_labels) if moments[i, -1]]
     if wrong:

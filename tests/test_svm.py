@@ -79,3 +79,18 @@ def test_empty_table_unknown_label_and_wrong_label(spark):
         assert not weights.any() and bias == 0.0
     with pytest.raises(ValueError, match="0 or 1"):
         svm.fit_linear_svms(_frame(spark, [([1], [2.0], [3.0])]), D, 1)
+
+
+def test_rows_are_read_once(spark):
+    """Passes read blocks, not the rows again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "indices array<int>, values array<double>, labels array<double>"
+    rows = spark.createDataFrame([([i % 3], [1.0 + i % 2], [float(i % 3 > 1), None]) for i in range(40)], schema)
+    (weights, _), (other, intercept) = svm.fit_linear_svms(rows.mapInArrow(count, schema), 3, 2, 5)
+    assert read.value == 40 and weights[2] > 0 and not other.any() and intercept == 0.0
