@@ -259,8 +259,8 @@ def test_words_of_a_row_are_counted_without_a_shuffle(spark, monkeypatch):
         module, "_written", lambda df, name: plans.update({name: df._jdf.queryExecution().toString()}) or real(df, name)
     )
     texts = spark.createDataFrame([(1, "b a b a. b"), (1, ""), (2, None), (3, "a")], "id int, text string")
-    table = spark.createDataFrame([(1, "x", "b", False), (2, "y", "a b", False), (2, "y", "a", False)],
-                                  "cat_idx int, cat_name string, keyword string, is_stem boolean")
+    table = spark.createDataFrame([(1, "x", "b", False, 0), (2, "y", "a b", False, 0), (2, "y", "a", False, 1)],
+                                  "cat_idx int, cat_name string, keyword string, is_stem boolean, entry long")
     got = module.lexicon_counts_join(texts, "text", table, ["id"])
     assert sorted(map(tuple, got.collect()), key=str) == [(1, 0, 0), (1, 3, 2), (2, None, None), (3, 0, 1)]
     assert "Exchange" not in plans["tokens"]
