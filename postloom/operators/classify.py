@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVCModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, SQLTransformer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.common import _py2java
 from pyspark.sql import DataFrame, SparkSession
@@ -76,25 +76,18 @@ def train_text_labels(
     ``label_cols`` maps a label to its 0/1 column; rows with a NULL label are
     left out of that label's fit. Terms are hashed into ``num_features``
     positions, the size of the model: no term is left out and no vocabulary is
-    gathered. All labels are fitted in the same passes over the vectors.
+    gathered. Counts are weighed by inverse document frequency, a factor that the
+    coefficients contain. All labels are fitted in the same passes over the vectors.
     """
     columns = list(dict.fromkeys(label_cols.values()))
     texts = _with_text(df.where(F.col(text_col).isNotNull()), text_col).select(TEXT, *columns)
-    stages = _term_stages()
-    # every pass below reads the vectors again, so texts are split only once
-    counter = HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=num_features)
-    counts = counter.transform(PipelineModel(stages).transform(texts)).select("__counts", *columns).persist()
-    try:
-        weights = IDF(inputCol="__counts", outputCol=FEATURES).fit(counts)
-        labels = F.array(*[F.col(c).cast("double") for c in columns])
-        plain = weights.transform(counts).select(F.unwrap_udt(FEATURES).alias("v"), labels.alias("labels"))
-        # read once: the fit keeps its own form of them
-        vectors = plain.select("v.indices", "v.values", "labels")
-        fitted = fit_linear_svms(vectors, num_features, len(columns), max_iter, reg_param)
-    finally:
-        counts.unpersist()
+    vectorizer = PipelineModel([*_term_stages(), HashingTF(inputCol="__terms", outputCol=FEATURES, numFeatures=num_features)])
+    labels = F.array(*[F.col(c).cast("double") for c in columns])
+    plain = vectorizer.transform(texts).select(F.unwrap_udt(FEATURES).alias("v"), labels.alias("labels"))
+    # texts are split once: the fit keeps its own form of the counts, and weighs them
+    vectors = plain.select("v.indices", "v.values", "labels")
+    fitted = fit_linear_svms(vectors, num_features, len(columns), max_iter, reg_param, by_rarity=True)
     by_column = dict(zip(columns, fitted))
-    vectorizer = PipelineModel([*stages, counter, weights])
     return TextLabelModels(
         dict.fromkeys(label_cols, vectorizer),
         {label: _classifier(df.sparkSession, label, *by_column[col]) for label, col in label_cols.items()},

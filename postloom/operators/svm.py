@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Generator, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,44 +24,90 @@ BLOCK_ROWS = 1000
 
 _SUMS = "slice int, part binary"
 
-Batch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+class Entries(NamedTuple):
+    """The entries of a block's rows, row by row: how many each has, and their positions; no values if all are 1."""
+
+    n: np.ndarray
+    at: np.ndarray
+    value: np.ndarray | None
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Per row the sum of its values times the weights at their positions."""
+        out = np.zeros(len(self.n))
+        met = self.n > 0
+        if met.any():
+            found = weights[self.at]
+            if self.value is not None:
+                found *= self.value
+            out[met] = np.add.reduceat(found, (np.cumsum(self.n) - self.n)[met])
+        return out
+
+
+class Block(NamedTuple):
+    """Some rows: entries of value 1, the other entries, labels by row with NaN for null, and the most rows of a position."""
+
+    ones: Entries
+    others: Entries
+    labels: np.ndarray
+    most: int
 
 
 def _packed(rows: DataFrame, n_features: int, n_labels: int) -> DataFrame:
-    """The rows in blocks of numpy bytes: every pass reads them as they are, without a list for each row."""
+    """The rows in blocks of numpy bytes: every pass reads them as they are, without a list for each row.
+
+    Most values are counts of 1, which are not kept.
+    """
     at_kind = "<u2" if n_features <= 1 << 16 else "<i4"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, BLOCK_ROWS):
                 indices, values, labels = (batch.column(i).slice(low, BLOCK_ROWS) for i in range(3))
+                n = indices.value_lengths().to_numpy(zero_copy_only=False)
+                at, value = indices.flatten().to_numpy(), values.flatten().to_numpy()
+                one = value == 1.0
+                # how many of the entries before an end are 1
+                until = np.append(0, np.cumsum(one))[np.append(0, np.cumsum(n))]
+                n_ones = np.diff(until)
+                most = np.bincount(at[one]).max(initial=0)
                 parts = (
-                    indices.value_lengths().to_numpy(zero_copy_only=False).astype("<i4"),
-                    indices.flatten().to_numpy().astype(at_kind),
-                    values.flatten().to_numpy().astype("<f8"),
+                    n_ones.astype("<i4"),
+                    at[one].astype(at_kind),
+                    (n - n_ones).astype("<i4"),
+                    at[~one].astype(at_kind),
+                    value[~one].astype("<f8"),
                     labels.flatten().to_numpy(zero_copy_only=False).astype("<f8"),
+                    np.array([most], "<i8"),
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=names)
 
-    names = ["n", "at", "value", "labels"]
+    names = ["n_ones", "ones", "n_others", "others", "value", "labels", "most"]
     return rows.mapInArrow(pack, ", ".join(f"{x} binary" for x in names))
 
 
-def _blocks(batch: pa.RecordBatch, n_features: int, n_labels: int) -> Iterator[Batch]:
-    """Row, position and value of every entry, and labels by row with NaN for null."""
-    kinds = ("<i4", "<u2" if n_features <= 1 << 16 else "<i4", "<f8", "<f8")
+def _blocks(batch: pa.RecordBatch, n_features: int, n_labels: int) -> Iterator[Block]:
+    at_kind = "<u2" if n_features <= 1 << 16 else "<i4"
+    kinds = ("<i4", at_kind, "<i4", at_kind, "<f8", "<f8", "<i8")
     for i in range(batch.num_rows):
-        n, at, value, labels = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns, kinds))
-        yield np.repeat(np.arange(len(n)), n), at.astype(np.int64), value, labels.reshape(-1, n_labels)
-
-
-def _summed(blocks: DataFrame, n_features: int, shape: tuple[int, int], add: Callable[[Batch, np.ndarray], None]) -> np.ndarray:
+        n, at, m, to, value, labels, most = (np.frombuffer(c[i].as_buffer(), k) for c, k in zip(batch.columns, kinds))
+        yield Block(
+            Entries(n, at.astype(np.int64), None),
+            Entries(m, to.astype(np.int64), value),
+            labels.reshape(-1, n_labels),
+            int(most[0]),
+        )
+
+
+def _summed(
+    blocks: DataFrame, n_features: int, n_labels: int, shape: tuple[int, int], add: Callable[[Block, np.ndarray], None]
+) -> np.ndarray:
     """Sum over all rows of what ``add`` puts into a block of ``shape``.
 
     A task sends one block, cut into slices; the slices are added up as they
     arrive, so no task holds more than its slices of the block.
     """
-    size, n_labels = shape[0] * shape[1], shape[0]
+    size = shape[0] * shape[1]
     n_slices = -(-size // SLICE)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,23 +153,52 @@ def _rows(slices) -> pa.RecordBatch:
 
 
 def _moments(rows: DataFrame, n_features: int, n_labels: int) -> np.ndarray:
-    """Per label: sums and sums of squares of each feature, known rows, rows with other labels than 0 and 1."""
+    """Per label: sums and sums of squares of each feature, known rows, rows with other labels than 0 and 1.
 
-    def add(batch: Batch, block: np.ndarray) -> None:
-        row, at, value, labels = batch
+    A last line has how many rows have each feature, and how many rows there are.
+    """
+
+    def add(batch: Block, block: np.ndarray) -> None:
+        ones, others, labels, _ = batch
         sums: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        for label in range(n_labels):
-            known = ~np.isnan(labels[:, label])
+
+        def of(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             # labels that are known for the same rows share their sums
             if known.tobytes() not in sums:
-                mine = known[row]
-                sums[known.tobytes()] = tuple(np.bincount(at[mine], x, n_features) for x in (value[mine], value[mine] ** 2))
-            block[label, :n_features] += sums[known.tobytes()][0]
-            block[label, n_features : 2 * n_features] += sums[known.tobytes()][1]
+                mine = np.repeat(known, others.n)
+                at, value = others.at[mine], others.value[mine]
+                plain = np.bincount(ones.at[np.repeat(known, ones.n)], minlength=n_features)
+                sums[known.tobytes()] = tuple(plain + np.bincount(at, x, n_features) for x in (value, value**2))
+            return sums[known.tobytes()]
+
+        for label in range(n_labels):
+            known = ~np.isnan(labels[:, label])
+            block[label, :n_features] += of(known)[0]
+            block[label, n_features : 2 * n_features] += of(known)[1]
             block[label, -2] += known.sum()
             block[label, -1] += (known & ~np.isin(labels[:, label], (0.0, 1.0))).sum()
+        for at in (ones.at, others.at[others.value != 0]):
+            block[-1, :n_features] += np.bincount(at, minlength=n_features)
+        block[-1, -2] += len(labels)
+
+    return _summed(rows, n_features, n_labels, (n_labels + 1, 2 * n_features + 2), add)
+
 
-    return _summed(rows, n_features, (n_labels, 2 * n_features + 2), add)
+def _signed_counts(ones: Entries, slopes: np.ndarray, most: int, n_features: int) -> Iterator[np.ndarray]:
+    """For each column of ``slopes``, of -1, 0 and 1 by row, their sum over the rows of each position.
+
+    Several columns are digits of one number, exact in a double, so that one count serves them.
+    """
+    base = 2 << most.bit_length()
+    together = max(1, 52 // (base.bit_length() - 1))
+    for low in range(0, slopes.shape[1], together):
+        digits = slopes[:, low : low + together]
+        code = digits @ float(base) ** np.arange(digits.shape[1])
+        total = np.bincount(ones.at, np.repeat(code, ones.n), n_features)
+        for _ in range(digits.shape[1]):
+            rest = np.rint(total / base)
+            yield total - rest * base
+            total = rest
 
 
 def _hinge(rows: DataFrame, points: np.ndarray, open_labels: list[int]) -> np.ndarray:
@@ -130,21 +206,24 @@ def _hinge(rows: DataFrame, points: np.ndarray, open_labels: list[int]) -> np.nd
     n_labels, width = points.shape
     held = rows.sparkSession.sparkContext.broadcast(points)
 
-    def add(batch: Batch, block: np.ndarray) -> None:
-        row, at, value, labels = batch
-        for label in open_labels:
+    def add(batch: Block, block: np.ndarray) -> None:
+        ones, others, labels, most = batch
+        slopes = np.zeros((len(labels), len(open_labels)))
+        for k, label in enumerate(open_labels):
             weights = held.value[label]
             known = ~np.isnan(labels[:, label])
             sign = np.where(labels[:, label] > 0.5, 1.0, -1.0)
-            score = np.bincount(row, value * weights[at], len(labels)) + weights[-1]
+            score = ones.sums(weights) + others.sums(weights) + weights[-1]
             loss = np.where(known, np.maximum(0.0, 1.0 - sign * score), 0.0)
-            slope = np.where(loss > 0, -sign, 0.0)
-            block[label, : width - 1] += np.bincount(at, value * slope[row], width - 1)
+            slope = slopes[:, k] = np.where(loss > 0, -sign, 0.0)
+            block[label, : width - 1] += np.bincount(others.at, others.value * np.repeat(slope, others.n), width - 1)
             block[label, width - 1] += slope.sum()
             block[label, width] += loss.sum()
+        for label, counts in zip(open_labels, _signed_counts(ones, slopes, most, width - 1)):
+            block[label, : width - 1] += counts
 
     try:
-        return _summed(rows, width - 1, (n_labels, width + 1), add)
+        return _summed(rows, width - 1, n_labels, (n_labels, width + 1), add)
     finally:
         held.unpersist()
 
@@ -196,7 +275,13 @@ def search(x: np.ndarray, max_iter: int, tol: float) -> Generator[np.ndarray, tu
 
 
 def fit_linear_svms(
-    rows: DataFrame, n_features: int, n_labels: int, max_iter: int = 20, reg_param: float = 0.01, tol: float = 1e-6
+    rows: DataFrame,
+    n_features: int,
+    n_labels: int,
+    max_iter: int = 20,
+    reg_param: float = 0.01,
+    tol: float = 1e-6,
+    by_rarity: bool = False,
 ) -> list[tuple[np.ndarray, float]]:
     """``(coefficients, intercept)`` of each label.
 
@@ -204,28 +289,33 @@ def fit_linear_svms(
     vector, and an array of ``n_labels`` labels 0 or 1, null where a row takes no
     part in that label's fit. The loss is the mean hinge loss plus the squared
     weights of features scaled to unit deviation. A label without a row gets zeros.
+    ``by_rarity`` fits on values times their feature's inverse document frequency over all rows,
+    ``log((rows + 1) / (rows with it + 1))``; the coefficients are those of the values as given.
     ``rows`` is read once and kept in blocks of numpy bytes, which are read once for the
     deviations and once for each step of all searches.
     """
     blocks = _packed(rows, n_features, n_labels).persist()
     try:
-        return _fitted(blocks, n_features, n_labels, max_iter, reg_param, tol)
+        return _fitted(blocks, n_features, n_labels, max_iter, reg_param, tol, by_rarity)
     finally:
         blocks.unpersist()
 
 
 def _fitted(
-    rows: DataFrame, n_features: int, n_labels: int, max_iter: int, reg_param: float, tol: float
+    rows: DataFrame, n_features: int, n_labels: int, max_iter: int, reg_param: float, tol: float, by_rarity: bool
 ) -> list[tuple[np.ndarray, float]]:
     """The same over the blocks of the rows."""
     moments = _moments(rows, n_features, n_labels)
+    moments, (*met, n_rows, _) = moments[:-1], moments[-1]
     wrong = [i for i in range(n_labels) if moments[i, -1]]
     if wrong:
         raise ValueError(f"Labels must be 0 or 1; other values in those at {wrong}")
     n = np.maximum(moments[:, -2], 1.0)[:, None]
     sums, squares = moments[:, :n_features], moments[:, n_features : 2 * n_features]
     deviation = np.sqrt(np.maximum(squares - sums**2 / n, 0.0) / np.maximum(n - 1, 1.0))
-    per_unit = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 1e-12)
+    # a factor of a feature's values leaves them the same at unit deviation, unless it is zero
+    factor = np.log((n_rows + 1) / (np.array(met[:n_features]) + 1)) if by_rarity else 1.0
+    per_unit = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation * factor > 1e-12)
     scale = np.concatenate([per_unit, np.ones((n_labels, 1))], axis=1)
 
     points = np.zeros((n_labels, n_features + 1))

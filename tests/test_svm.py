@@ -94,3 +94,39 @@ def test_rows_are_read_once(spark):
     rows = spark.createDataFrame([([i % 3], [1.0 + i % 2], [float(i % 3 > 1), None]) for i in range(40)], schema)
     (weights, _), (other, intercept) = svm.fit_linear_svms(rows.mapInArrow(count, schema), 3, 2, 5)
     assert read.value == 40 and weights[2] > 0 and not other.any() and intercept == 0.0
+
+
+def test_counts_of_one_travel_as_positions_alone(spark):
+    """Two bytes for an entry, and digits of one number for the labels' sums."""
+    rows = [(list(range(i % 7, 40, 2)), [1.0] * len(range(i % 7, 40, 2)), [float(i % 2), None]) for i in range(300)]
+    frame = _frame(spark, rows, 1).withColumnRenamed("vals", "values")
+    blocks = svm._packed(frame, D, 2).collect()
+    entries = sum(len(at) for at, _, _ in rows)
+    assert sum(len(bytes(x)) for b in blocks for x in b) < 3 * entries + 30 * len(rows)
+
+
+def test_signed_counts_equal_separate_sums():
+    draw = np.random.default_rng(2)
+    for n in (1, 3, 900):
+        at = [np.sort(draw.choice(D, draw.integers(0, 9), replace=False)) for _ in range(n)]
+        ones = svm.Entries(np.array([len(x) for x in at]), np.concatenate(at).astype(np.int64), None)
+        slopes = draw.integers(-1, 2, (n, 11)).astype(float)
+        most = int(np.bincount(ones.at).max(initial=0))
+        found = list(svm._signed_counts(ones, slopes, most, D))
+        want = [np.bincount(ones.at, np.repeat(s, ones.n), D) for s in slopes.T]
+        assert np.array_equal(found, want)
+
+
+def test_rarity_equals_weighed_values(spark, points):
+    """A position of every row weighs nothing; ones, other and tiny values are met."""
+    rows = []
+    for i, (at, _, labels) in enumerate(points[:-1]):
+        other = dict(zip(at, [1.0, 2.0, 1.0, 1.0, 3.0, 1.0, 1.0, 1e-7])) | {0: 1.0 + i % 3}
+        rows.append((sorted(other), [other[k] for k in sorted(other)], labels))
+    met = np.bincount([x for at, _, _ in rows for x in at], minlength=D)
+    idf = np.log((len(rows) + 1) / (met + 1))
+    weighed = [(at, [float(v * idf[k]) for k, v in zip(at, value)], labels) for at, value, labels in rows]
+    got = svm.fit_linear_svms(_frame(spark, rows), D, 3, max_iter=5, by_rarity=True)
+    want = svm.fit_linear_svms(_frame(spark, weighed), D, 3, max_iter=5)
+    for (w, b), (v, c) in zip(got, want):
+        assert w[0] == 0 and np.allclose(w, v * idf, atol=1e-6) and np.isclose(b, c, atol=1e-6)
