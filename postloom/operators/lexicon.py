@@ -242,7 +242,7 @@ def lexicon_vector(
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -301,6 +301,9 @@ def _tokens_with_entries(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     return every.join(broadcast_if_small(entries), "anchor").drop("anchor")
 
 
+#: Entries of a category with phrases or marks, at most, that make one alternation over every text.
+MAX_ALTERNATION = 200
+
 #: Positions, from 1, in a sorted array at which another token begins, and each token with its count.
 _FIRSTS = "filter(sequence(1, greatest(size(__sorted), 1)), p -> p = 1 OR get(__sorted, p - 1) <> get(__sorted, p - 2))"
 _COUNTED = (
@@ -323,15 +326,20 @@ def lexicon_counts_join(
     row, whether or not ``keys`` identify it. The lexicon may have any length and
     any entries, phrases and punctuation included, and counts as in ``lexicon_counts``.
 
-    Rows are reduced to (row, token, count) once, each where it stands, by its sorted words.
-    The distinct tokens of all texts meet the lexicon, and a token then brings its categories
-    back to the rows, by broadcast if a count shows those tokens to be few; otherwise the
-    adaptive skew join splits a token that fills much of all texts. Rows with a token that an
-    entry of several words or marks needs are counted by the alternation of just the
-    entries that may occur in them.
+    Rows are reduced to their distinct words with counts once, each where it stands, by its sorted
+    words. The distinct tokens of all texts meet the lexicon, and a token then brings its categories
+    back to the rows, by broadcast if a count shows those tokens to be few, so that only a row's sums
+    are shuffled; otherwise the adaptive skew join splits a token that fills much of all texts. A
+    category of up to ``MAX_ALTERNATION`` entries that has entries of several words or marks is
+    counted by its alternation as the row is read. Of longer ones, rows with a token that such an
+    entry needs are counted by the alternation of just the entries that may occur in them; the
+    texts are written for that.
     """
     entries = _written(_entries(lexicon, stems), "entries")
     category_rows = lexicon.select("cat_idx", "cat_name").distinct().orderBy("cat_idx").collect()
+    short = _alternations(entries)
+    if short:
+        entries = entries.where(F.col("plain") | ~F.col("cat_idx").isin(list(short)))
     has_odd = not entries.where(~F.col("plain")).isEmpty()
 
     rows = df.select(
@@ -341,16 +349,23 @@ def lexicon_counts_join(
         rows = _written(rows, "texts")
     token = rf"{WORD_RUN}|[^\p{{L}}\p{{N}}_\s]" if has_odd else WORD_RUN
     sorted_tokens = F.array_sort(F.regexp_extract_all("__text", F.lit(token), F.lit(0))).alias("__sorted")
-    tokens = _written(
-        rows.select("__row", *keys, F.col("__text").isNotNull().alias("__has_text"), sorted_tokens)
-        .select("*", F.expr(_FIRSTS).alias("__firsts"))
-        .select("__row", *keys, "__has_text", F.expr(f"inline_outer({_COUNTED})").alias("token", "n")),
+    text = F.col("__text")
+    odd = [
+        F.when(text.rlike(some), F.regexp_count(text, F.lit(every)).cast("long")).alias(f"__odd{i}")
+        for i, (some, every) in short.items()
+    ]
+    counted_rows = _written(
+        rows.select("__row", *keys, text.isNotNull().alias("__has_text"), *odd, sorted_tokens)
+        .withColumn("__firsts", F.expr(_FIRSTS))
+        .withColumn("__counted", F.expr(_COUNTED))
+        .drop("__sorted", "__firsts"),
         "tokens",
     )
-    known = _written(_tokens_with_entries(tokens.where("token IS NOT NULL"), entries), "known")
+    tokens = counted_rows.select("__row", F.inline("__counted").alias("token", "n"))
+    known = _written(_tokens_with_entries(tokens, entries), "known")
     # a word hits a category once, by however many entries; written, so that the join can split a hot word
     plain = _written(known.where("plain").groupBy("token").agg(F.collect_set("cat_idx").alias("cats")), "plain")
-    hits = tokens.select("__row", "token", "n").join(broadcast_if_small(plain), "token").select(
+    hits = tokens.join(broadcast_if_small(plain), "token").select(
         "__row", F.explode("cats").alias("cat_idx"), "n", F.lit(False).alias("odd")
     )
     if has_odd:
@@ -363,14 +378,31 @@ def lexicon_counts_join(
         for r in category_rows
     ]
     counted = hits.groupBy("__row").agg(*per_cat)
-    every = tokens.select("__row", *keys, "__has_text").distinct()
-    return every.join(counted, "__row", "left").select(
-        *keys,
-        *[
-            F.when(F.col("__has_text"), F.coalesce(F.col(f"`{r.cat_name}`"), F.lit(0))).alias(r.cat_name)
-            for r in category_rows
-        ],
+
+    def count(cat_idx: int, name: str) -> Column:
+        own = [F.col(f"__odd{cat_idx}")] if cat_idx in short else []
+        return F.when(F.col("__has_text"), F.coalesce(*own, F.col(f"`{name}`"), F.lit(0))).alias(name)
+
+    return (
+        counted_rows.drop("__counted")
+        .join(counted, "__row", "left")
+        .select(*keys, *[count(r.cat_idx, r.cat_name) for r in category_rows])
+    )
+
+
+def _alternations(entries: DataFrame) -> dict[int, tuple[str, str]]:
+    """For each short category with entries of several words or marks the patterns of those, and of all."""
+    odd = (
+        entries.groupBy("cat_idx")
+        .agg(F.count(F.lit(1)).alias("size"), F.bool_or(~F.col("plain")).alias("odd"))
+        .where(F.col("odd") & (F.col("size") <= MAX_ALTERNATION))
     )
+    found: dict[int, list] = {}
+    for row in entries.join(odd, "cat_idx", "left_semi").orderBy("cat_idx", "entry", "keyword").collect():
+        found.setdefault(row.cat_idx, []).append(row)
+    return {
+        i: ("|".join(r.pattern for r in own if not r.plain), "|".join(r.pattern for r in own)) for i, own in found.items()
+    }
 
 
 def _odd_counts(rows: DataFrame, tokens: DataFrame, known: DataFrame) -> DataFrame:
@@ -378,14 +410,14 @@ def _odd_counts(rows: DataFrame, tokens: DataFrame, known: DataFrame) -> DataFra
     odd = known.where(~F.col("plain")).select("token", "cat_idx", "pattern")
     text = F.col("__text")
     patterns = F.array_join(F.array_sort(F.collect_set("pattern")), "|")
-    perhaps = tokens.select("__row", "token").join(odd, "token").groupBy("__row", "cat_idx").agg(patterns.alias("any"))
+    perhaps = tokens.select("__row", "token").join(broadcast_if_small(odd), "token").groupBy("__row", "cat_idx").agg(patterns.alias("any"))
     occurs = (
         perhaps.join(rows.select("__row", "__text"), "__row").where(F.regexp_like(text, F.col("any"))).select("__row", "cat_idx", "__text")
     )
     entry = F.struct("entry", "keyword", "pattern").alias("e")
     candidates = (
         occurs.join(tokens.select("__row", "token"), "__row")
-        .join(known.select("token", "cat_idx", entry), ["token", "cat_idx"])
+        .join(broadcast_if_small(known.select("token", "cat_idx", entry)), ["token", "cat_idx"])
         .groupBy("__row", "cat_idx")
         .agg(F.any_value("__text").alias("__text"), F.array_sort(F.collect_set("e")).alias("entries"))
     )

@@ -264,3 +264,34 @@ def test_words_of_a_row_are_counted_without_a_shuffle(spark, monkeypatch):
     got = module.lexicon_counts_join(texts, "text", table, ["id"])
     assert sorted(map(tuple, got.collect()), key=str) == [(1, 0, 0), (1, 3, 2), (2, None, None), (3, 0, 1)]
     assert "Exchange" not in plans["tokens"]
+
+
+def test_join_writes_one_row_for_each_text_and_no_text(spark, monkeypatch):
+    import importlib
+
+    module = importlib.import_module("postloom.operators.lexicon")
+    written, real = {}, module._written
+    monkeypatch.setattr(module, "_written", lambda df, name: written.setdefault(name, real(df, name)))
+    got = lexicon_counts_join(_frame(spark), "text", _table(spark, CATEGORIES), ["id"])
+    assert got.count() == len(TEXTS)
+    assert "texts" not in written
+    assert written["tokens"].count() == len(TEXTS)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # what is shuffled by row are sums, not words
+    assert plan.count("Generate") == 2 and "Join Inner, (__row" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 200])
+def test_join_counts_phrases_of_short_and_long_categories(spark, monkeypatch, most):
+    import importlib
+
+    monkeypatch.setattr(importlib.import_module("postloom.operators.lexicon"), "MAX_ALTERNATION", most)
+    rng = random.Random(9)
+    pieces = ["kind", "of", "kindof", "happy", "happier", "sad", " ", " ", " ", ".", "'", "_", "3", "é", "i'm", "un", ":)", "c++"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(150)] + [None]
+    out = lexicon_counts_join(_frame(spark, texts), "text", _table(spark, CATEGORIES), ["id"]).collect()
+    assert len(out) == len(texts)
+    for row in out:
+        for name, keywords in CATEGORIES.items():
+            if keywords:
+                assert row[name] == (None if texts[row.id] is None else _brute_count(texts[row.id], keywords, "match"))
